@@ -59,7 +59,7 @@ def sentence_units(tokens_u: DataFrame, sent=SENT) -> DataFrame:
     def unit_structs(x, i):
         # character offset of unit j inside the word = total length of the units before it
         return F.transform(x["cu"], lambda u, j: F.struct(
-            i.alias("w"), u.alias("u"),
+            i.alias("w"), u.alias("u"), (j == 0).alias("f"), (j == F.size(x["cu"]) - 1).alias("l"),
             (x["c0"] + F.aggregate(F.slice(x["cu"], 1, j), F.lit(0), lambda a, y: a + F.length(y))).alias("c0"),
             (x["c0"] + F.aggregate(F.slice(x["cu"], 1, j + 1), F.lit(0), lambda a, y: a + F.length(y))).alias("c1")))
 
@@ -99,13 +99,18 @@ def _with_neighbours(sents: DataFrame, span: int, exclude_last_right: bool, sent
 
 
 def _render(L: Column, wb: str, T: Optional[Column], tb: str) -> Column:
-    """Context units in text order with boundaries (and tags) inserted."""
+    """Context units in text order with boundaries (and tags) inserted.
+
+    A boundary goes before every unit that opens a word, except the first
+    one kept; a tag (left context) after every unit that closes a word.
+    Units of a word are contiguous, so the flags on the unit suffice and
+    the sliced array is never indexed again.
+    """
     def one(x, j):
-        sep = F.when((j > 0) & (x["w"] != L[j - 1]["w"]), lit_array(wb)).otherwise(empty())
+        sep = F.when((j > 0) & x["f"], lit_array(wb)).otherwise(empty())
         parts = [sep, F.array(x["u"])]
         if T is not None:
-            last_of_word = (j == F.size(L) - 1) | (L[j + 1]["w"] != x["w"])
-            parts.append(F.when(last_of_word, F.concat(lit_array(tb), F.element_at(T, x["w"] + 1))).otherwise(empty()))
+            parts.append(F.when(x["l"], F.concat(lit_array(tb), F.element_at(T, x["w"] + 1))).otherwise(empty()))
         return F.concat(*parts)
     return F.flatten(F.transform(L, one))
 
@@ -131,10 +136,11 @@ def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[
 
     def shift(p, w_off, c_off):
         return F.transform(p["U"], lambda x: F.struct(
-            (x["w"] + w_off).alias("w"), x["u"].alias("u"), (x["c0"] + c_off).alias("c0"), (x["c1"] + c_off).alias("c1")))
+            (x["w"] + w_off).alias("w"), x["u"].alias("u"), x["f"].alias("f"), x["l"].alias("l"),
+            (x["c0"] + c_off).alias("c0"), (x["c1"] + c_off).alias("c1")))
 
     # running word / char offsets of each piece: sums over the pieces before it (at most 2*span+1)
-    acc0 = F.struct(F.array().cast("array<struct<w:int,u:string,c0:int,c1:int>>").alias("U"),
+    acc0 = F.struct(F.array().cast("array<struct<w:int,u:string,f:boolean,l:boolean,c0:int,c1:int>>").alias("U"),
                     F.array().cast("array<array<string>>").alias("T"),
                     F.lit(0).alias("nw"), F.lit(0).alias("nc"))
     comb = F.aggregate(ordered, acc0, lambda a, p: F.struct(
@@ -168,14 +174,14 @@ def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[
         return F.struct(wd["word_no"].alias("word_no"), wd["word"].alias("word"), wd["lemma"].alias("lemma"),
                         wd["tag"].alias("tag"), L.alias("L"), R.alias("R"))
 
-    y = x.select(*s, F.transform(F.col("ws"), windows).alias("ex"), F.col("cb")["T"].alias("TT"))
 
     wb, tb = cfg.word_boundary, cfg.tag_boundary
     ob, cbd = cfg.example_boundary, closing_tag(cfg.example_boundary)
-    T = F.col("TT") if cfg.context_tags == "left" else None
+    T = F.col("cb")["T"] if cfg.context_tags == "left" else None
     word_unit = "word" if cfg.word_unit == "word" else "char"
 
-    def render(e):
+    def render(wd):
+        e = windows(wd)
         src = F.concat(lit_array(ob), _render(e["L"], wb, T, tb), lit_array(cfg.left_context_boundary),
                        units_of(e["word"], word_unit), lit_array(cfg.right_context_boundary),
                        _render(e["R"], wb, None, tb), lit_array(cbd))
@@ -184,7 +190,9 @@ def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[
         tgt = F.concat(lit_array(ob), body, lit_array(cbd))
         return F.struct(e["word_no"].alias("word_no"), src.alias("source"), tgt.alias("target"))
 
-    return y.select(*s, F.inline(F.transform(F.col("ex"), render)))
+    # one generator over the words; the combined sequence ``cb`` is computed once
+    # per sentence in the projection below it
+    return x.select(*s, F.inline(F.transform(F.col("ws"), render)))
 
 
 def as_text(pairs: DataFrame) -> DataFrame:

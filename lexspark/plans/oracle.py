@@ -230,3 +230,21 @@ s AS (SELECT model_id, part, doc_id, sent_no, count(*) AS k, sum(hl) AS hl, sum(
 SELECT model_id, part, CAST(sum(k) + count(*) AS BIGINT) AS n_lines,
   1 - sum(hl) / (sum(k) + count(*)) AS lemma_acc, 1 - sum(ht) / (sum(k) + count(*)) AS tag_acc,
   1 - sum(hj) / (sum(k) + count(*)) AS joint_acc FROM s GROUP BY model_id, part"""
+
+# ---- example construction ---------------------------------------------------
+
+from lexspark.plans.oracle_examples import sentence_pairs_sql, word_context_sql  # noqa: E402
+
+ORACLE["word_context_units"] = word_context_sql(k=20)
+ORACLE["word_context_chars"] = word_context_sql(n=2, N=25)
+ORACLE["word_context_words"] = word_context_sql(context_unit="word", k=5)
+ORACLE["word_context_tags"] = word_context_sql(k=20, tags=True)
+ORACLE["word_context_span"] = word_context_sql(k=20, span=1)
+ORACLE["target_lines"] = "SELECT part, doc_id, sent_no, word_no, target FROM (" + word_context_sql(
+    k=0, word_unit="word", tag_unit="word", tag_first=True) + ")"
+ORACLE["length_filter"] = """SELECT part, doc_id, sent_no, word_no, n_source, n_target FROM (
+  SELECT *, CAST(len(string_split(source, ' ')) AS INTEGER) AS n_source,
+            CAST(len(string_split(target, ' ')) AS INTEGER) AS n_target FROM (""" + word_context_sql(k=20) + """))
+WHERE n_source <= 120 AND n_target <= 120"""
+ORACLE["sentence_pairs"] = sentence_pairs_sql()
+ORACLE["sentence_splits"] = sentence_pairs_sql(n=2, size=50)

@@ -213,3 +213,55 @@ def q_diff_accuracy(spark, d):
     lines = f.select("model_id", "part", "doc_id", "sent_no", "word_no",
                      F.col("lemma_match").alias("lemma_ok"), F.col("tag_match").alias("tag_ok"))
     return score.diff_accuracy(lines)
+
+
+# ---- example construction ---------------------------------------------------
+
+from lexspark.config import TransformConfig  # noqa: E402
+from lexspark.operators import context, sentences  # noqa: E402
+
+EXAMPLE_CONFIGS = {
+    "word_context_units": TransformConfig(context_size=20),
+    "word_context_chars": TransformConfig(n=2, context_char_size=25),
+    "word_context_words": TransformConfig(context_unit="word", context_size=5),
+    "word_context_tags": TransformConfig(context_size=20, context_tags="left"),
+    "word_context_span": TransformConfig(context_size=20, context_span=1),
+}
+
+
+def _examples(cfg):
+    def run(spark, d):
+        ex = context.build_examples(corpus.clean_tokens(spark, d), cfg)
+        return context.as_text(ex).select("part", "doc_id", "sent_no", "word_no", "source", "target")
+    return run
+
+
+for _n, _c in EXAMPLE_CONFIGS.items():
+    QUERIES[_n] = _examples(_c)
+
+
+@query("target_lines")
+def q_target_lines(spark, d):
+    cfg = TransformConfig(word_unit="word", tag_unit="word", tag_first=True, context_size=0)
+    ex = context.build_examples(corpus.clean_tokens(spark, d), cfg)
+    return context.as_text(ex).select("part", "doc_id", "sent_no", "word_no", "target")
+
+
+@query("length_filter")
+def q_length_filter(spark, d):
+    ex = context.build_examples(corpus.clean_tokens(spark, d), EXAMPLE_CONFIGS["word_context_units"])
+    kept = clean.length_filter(ex, 120)
+    return kept.select("part", "doc_id", "sent_no", "word_no",
+                       F.size("source").alias("n_source"), F.size("target").alias("n_target"))
+
+
+@query("sentence_pairs")
+def q_sentence_pairs(spark, d):
+    cfg = TransformConfig(mode="sentence_to_sentence")
+    return context.as_text(sentences.build_pairs(corpus.clean_tokens(spark, d), cfg))
+
+
+@query("sentence_splits")
+def q_sentence_splits(spark, d):
+    cfg = TransformConfig(mode="sentence_to_sentence", n=2, sentence_size=50)
+    return context.as_text(sentences.build_pairs(corpus.clean_tokens(spark, d), cfg))
