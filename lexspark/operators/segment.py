@@ -43,3 +43,15 @@ def chars(c: Column) -> Column:
 
 def segment_ngrams(tokens: DataFrame, n: int, col: str = "word", out: str = "units") -> DataFrame:
     return tokens.withColumn(out, char_ngrams(F.col(col), n))
+
+
+def collapse_blanks(lines: DataFrame, doc: str = "doc_id", order: str = "line_no", text: str = "line") -> DataFrame:
+    """Runs of blank lines collapse to one, the first line of each file goes, blank-only -> ''.
+
+    A line is blank when it has no fields (white space only).
+    """
+    blank = F.trim(F.col(text), F.lit(" \t")) == ""
+    w = Window.partitionBy(doc).orderBy(order)
+    x = lines.withColumn("__b", blank).withColumn("__pb", F.lag("__b").over(w))
+    keep = (F.col(order) > 0) & ~(F.col("__b") & F.coalesce(F.col("__pb"), F.lit(False)))
+    return x.where(keep).withColumn(text, F.when(F.col("__b"), F.lit("")).otherwise(F.col(text))).drop("__b", "__pb")

@@ -38,3 +38,37 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth_pre = ct.where(F.col("part").isin("dev", "test"))
     m = align.match_table(fixtures.predictions(spark, sf_dir), truth_with_eos(spark, sf_dir))
     return align.match_flags(m, train, truth_pre, script=SCRIPT)
+
+
+def training_pairs(spark: SparkSession, sf_dir: str, cfg=None) -> DataFrame:
+    from lexspark.config import TransformConfig
+    from lexspark.operators.context import build_examples
+    ct = clean_tokens(spark, sf_dir)
+    return build_examples(ct.where(F.col("part") == "training"), cfg or TransformConfig())
+
+
+# Fixed values of the runs fixture: 8 experiments x 3 repeats, job ids from 1000.
+RUN_INITIAL, RUN_EXPERIMENTS, RUN_REPEATS = 1000, 8, 3
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of repeated runs: experiment i uses model 1 + i % 3 on dev, repeat j adds 0.001 * j.
+
+    (job_id, model_id, slice, metric, value) with job_id = 1000 + i + 8 * j.
+    """
+    from lexspark.operators.score import score_slices
+    sc = score_slices(flags(spark, sf_dir).where(F.col("part") == "dev")) \
+        .where(F.col("slice").isin("all", "unseen", "ambiguous"))
+    grid = [(i, j) for i in range(RUN_EXPERIMENTS) for j in range(RUN_REPEATS)]
+    ij = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in grid])).alias("ij")
+    x = sc.select("model_id", "slice", "metric", "value", ij)
+    x = x.where(F.col("model_id") == 1 + F.col("ij.i") % 3)
+    return x.select((F.lit(RUN_INITIAL) + F.col("ij.i") + RUN_EXPERIMENTS * F.col("ij.j")).cast("int").alias("job_id"),
+                    "model_id", "slice", "metric", (F.col("value") + 0.001 * F.col("ij.j")).alias("value"))
+
+
+def run_configs(spark: SparkSession) -> DataFrame:
+    """Experiment -> configuration name (the first 8 of the test grid)."""
+    from lexspark.config import TEST_GRID
+    rows = [(i, TEST_GRID[i].config_id("corpus")) for i in range(RUN_EXPERIMENTS)]
+    return spark.createDataFrame(rows, "experiment int, config_id string")

@@ -248,3 +248,106 @@ ORACLE["length_filter"] = """SELECT part, doc_id, sent_no, word_no, n_source, n_
 WHERE n_source <= 120 AND n_target <= 120"""
 ORACLE["sentence_pairs"] = sentence_pairs_sql()
 ORACLE["sentence_splits"] = sentence_pairs_sql(n=2, size=50)
+
+# ---- vocabulary, reports, run averages, grids --------------------------------
+
+from lexspark.config import TEST_GRID  # noqa: E402
+
+
+def _pairs(where):
+    return f"(SELECT * FROM ({word_context_sql(k=20)}) WHERE {where})"
+
+
+_VOCAB = f"""sym AS (
+  SELECT 'source' AS side, unnest(string_split(source, ' ')) AS symbol FROM {_pairs("part = 'training'")} p1
+  UNION ALL
+  SELECT 'target', unnest(string_split(target, ' ')) FROM {_pairs("part = 'training'")} p2),
+voc AS (SELECT side, symbol, count(*) AS freq,
+  CAST(row_number() OVER (PARTITION BY side ORDER BY count(*) DESC, symbol) + 1 AS BIGINT) AS id
+  FROM sym GROUP BY side, symbol)"""
+
+ORACLE["vocabulary"] = "WITH " + _VOCAB + " SELECT side, symbol, freq, id FROM voc"
+
+
+def _enc(side):
+    return f"""{side}_e AS (
+  SELECT part, doc_id, sent_no, word_no,
+    string_agg(CAST(coalesce(v.id, 1) AS VARCHAR), ' ' ORDER BY e.pos) AS {side}_ids
+  FROM (SELECT part, doc_id, sent_no, word_no, unnest(string_split({side}, ' ')) AS sym,
+               unnest(range(len(string_split({side}, ' ')))) AS pos FROM devp) e
+  LEFT JOIN voc v ON v.side = '{side}' AND v.symbol = e.sym
+  GROUP BY part, doc_id, sent_no, word_no)"""
+
+
+ORACLE["encode_lines"] = "WITH " + _VOCAB + f""",
+devp AS {_pairs("part = 'dev'")},
+{_enc('source')},
+{_enc('target')}
+SELECT s.part, s.doc_id, s.sent_no, s.word_no, s.source_ids, t.target_ids
+FROM source_e s JOIN target_e t USING (part, doc_id, sent_no, word_no)"""
+
+ORACLE["error_report"] = with_("match") + """, runs AS (
+  SELECT part, doc_id, sent_no, CAST(model_id AS VARCHAR) || '_lemma' AS label,
+    list(CASE WHEN lemma_match THEN coalesce(lemma_prediction, '') ELSE replace(upper(coalesce(lemma_prediction, '')), 'ẞ', 'SS') END
+         ORDER BY word_no) AS cells
+  FROM flags GROUP BY part, doc_id, sent_no, model_id),
+truth AS (
+  SELECT part, doc_id, sent_no, 'original_word' AS label, list(word_truth ORDER BY word_no) AS cells
+  FROM (SELECT DISTINCT part, doc_id, sent_no, word_no, word_truth FROM flags) GROUP BY part, doc_id, sent_no)
+SELECT part, doc_id, sent_no, label,
+  array_to_string(list_transform(list_prepend(label, cells), lambda x: rpad(x, 15, ' ')), ' ') AS line
+FROM (SELECT * FROM runs UNION ALL SELECT * FROM truth)"""
+
+_RUNS = with_("match") + """, x AS (SELECT model_id, part, CAST(lemma_match AS INTEGER) AS lemma,
+             CAST(tag_match AS INTEGER) AS tag, CAST(joint_match AS INTEGER) AS joint,
+             unnest(list_filter(['all', CASE WHEN NOT seen_word THEN 'unseen' END,
+                                 CASE WHEN ambiguous THEN 'ambiguous' END], lambda s: s IS NOT NULL)) AS slice
+      FROM flags),
+a AS (SELECT model_id, part, slice, count(*) AS n, sum(lemma) AS lemma, sum(tag) AS tag, sum(joint) AS joint
+      FROM x GROUP BY model_id, part, slice),
+sc AS (
+  SELECT model_id, slice, metric, value FROM (
+    SELECT model_id, part, slice, 'lemma' AS metric, round(lemma / n, 5) AS value FROM a
+    UNION ALL SELECT model_id, part, slice, 'tag', round(tag / n, 5) FROM a
+    UNION ALL SELECT model_id, part, slice, 'joint', round(joint / n, 5) FROM a)
+  WHERE part = 'dev' AND slice IN ('all', 'unseen', 'ambiguous')),
+runs AS (
+  SELECT CAST(1000 + ii.i + 8 * jj.j AS INTEGER) AS job_id, sc.model_id, sc.slice, sc.metric,
+         sc.value + CAST(0.001 AS DOUBLE) * jj.j AS value
+  FROM sc, (SELECT unnest(range(8)) AS i) ii, (SELECT unnest(range(3)) AS j) jj
+  WHERE sc.model_id = 1 + ii.i % 3)
+"""
+
+ORACLE["run_average"] = _RUNS + """SELECT model_id, slice, metric, round(avg(value), 5) AS mean, count(*) AS n_runs
+FROM runs GROUP BY model_id, slice, metric"""
+
+_GRID = """ga AS (SELECT CAST((job_id - 1000) % 8 AS INTEGER) AS experiment, slice, metric,
+                 round(avg(value), 5) AS mean, count(*) AS n_runs
+          FROM runs WHERE job_id >= 1000 GROUP BY 1, slice, metric)"""
+
+ORACLE["grid_average"] = _RUNS + ", " + _GRID + " SELECT experiment, slice, metric, mean, n_runs FROM ga"
+
+_CFG_VALUES = ", ".join(f"({i}, '{TEST_GRID[i].config_id('corpus')}')" for i in range(8))
+ORACLE["results_sheet"] = _RUNS + ", " + _GRID + f""", cf AS (SELECT * FROM (VALUES {_CFG_VALUES}) t(experiment, config_id))
+SELECT cf.experiment, cf.config_id, coalesce(regexp_extract(cf.config_id, '_([0-9]+)u_', 1), '') AS context_size,
+       ga.slice, ga.metric, ga.mean, ga.n_runs
+FROM cf JOIN ga ON cf.experiment = ga.experiment WHERE ga.slice = 'all' AND ga.metric = 'joint'"""
+
+
+def _grid_one(cfg):
+    sql = word_context_sql(source="(SELECT * FROM clean WHERE part = 'dev')",
+                           n=cfg.n, context_unit=cfg.context_unit,
+                           k=cfg.context_size, N=cfg.context_char_size)
+    return f"""SELECT '{cfg.config_id('corpus')}' AS config_id, count(*) AS n_pairs,
+  CAST(sum(len(string_split(source, ' '))) AS BIGINT) AS n_source_symbols,
+  CAST(sum(len(string_split(target, ' '))) AS BIGINT) AS n_target_symbols,
+  CAST(max(len(string_split(source, ' '))) AS INTEGER) AS max_source
+FROM ({sql})"""
+
+
+ORACLE["config_grid"] = "\nUNION ALL\n".join(_grid_one(c) for c in TEST_GRID)
+
+ORACLE["collapse_blanks"] = with_("doc_lines") + """SELECT doc_id, line_no, CASE WHEN b THEN '' ELSE line END AS line
+FROM (SELECT doc_id, sent_no AS line_no, line, trim(line, ' ' || chr(9)) = '' AS b,
+             lag(trim(line, ' ' || chr(9)) = '') OVER (PARTITION BY doc_id ORDER BY sent_no) AS pb FROM doc_lines)
+WHERE line_no > 0 AND NOT (b AND coalesce(pb, false))"""

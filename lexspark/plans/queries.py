@@ -265,3 +265,62 @@ def q_sentence_pairs(spark, d):
 def q_sentence_splits(spark, d):
     cfg = TransformConfig(mode="sentence_to_sentence", n=2, sentence_size=50)
     return context.as_text(sentences.build_pairs(corpus.clean_tokens(spark, d), cfg))
+
+
+# ---- vocabulary, reports, run averages, grids --------------------------------
+
+from lexspark.config import TEST_GRID  # noqa: E402
+from lexspark.operators import report, vocab  # noqa: E402
+from lexspark.plans import flows  # noqa: E402
+
+
+@query("vocabulary")
+def q_vocabulary(spark, d):
+    return vocab.vocabulary(corpus.training_pairs(spark, d))
+
+
+@query("encode_lines")
+def q_encode_lines(spark, d):
+    v = vocab.vocabulary(corpus.training_pairs(spark, d))
+    ct = corpus.clean_tokens(spark, d).where(F.col("part") == "dev")
+    pairs = context.build_examples(ct, TransformConfig())
+    keys = ["part", "doc_id", "sent_no", "word_no"]
+    enc = vocab.encode(pairs, v, keys)
+    return enc.select(*keys, F.array_join(F.col("source_ids").cast("array<string>"), " ").alias("source_ids"),
+                      F.array_join(F.col("target_ids").cast("array<string>"), " ").alias("target_ids"))
+
+
+@query("error_report")
+def q_error_report(spark, d):
+    return report.error_report(corpus.flags(spark, d), "lemma")
+
+
+@query("run_average")
+def q_run_average(spark, d):
+    # Each model's runs averaged per (slice, metric)
+    return score.run_average(corpus.runs(spark, d), ("model_id", "slice", "metric"))
+
+
+@query("grid_average")
+def q_grid_average(spark, d):
+    return score.grid_average(corpus.runs(spark, d), corpus.RUN_INITIAL, corpus.RUN_EXPERIMENTS)
+
+
+@query("results_sheet")
+def q_results_sheet(spark, d):
+    avg = score.grid_average(corpus.runs(spark, d), corpus.RUN_INITIAL, corpus.RUN_EXPERIMENTS) \
+        .where((F.col("slice") == "all") & (F.col("metric") == "joint"))
+    return score.results_sheet(avg, corpus.run_configs(spark))
+
+
+@query("config_grid")
+def q_config_grid(spark, d):
+    ct = corpus.clean_tokens(spark, d).where(F.col("part") == "dev")
+    return flows.config_grid(ct, TEST_GRID)
+
+
+@query("collapse_blanks")
+def q_collapse_blanks(spark, d):
+    docs = fixtures.read_table(spark, d, "documents").select("doc_id", "lang", "text")
+    ln = fixtures.lines_of(docs).withColumnRenamed("sent_no", "line_no")
+    return segment.collapse_blanks(ln, "doc_id", "line_no", "line").select("doc_id", "line_no", "line")
