@@ -14,7 +14,12 @@ SCRIPT = LATIN_START
 
 
 def clean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_for_train(fixtures.tokens(spark, sf_dir))
+    """Cleaned (C1-C5) derived corpus, written once per input folder."""
+    from lexspark.sources.store import materialized
+    cols = ["doc_id", "lang", "part", "sent_no", "word_no", "word", "lemma", "tag"]
+    return materialized(spark, "clean_tokens", sf_dir,
+                        lambda: clean.clean_for_train(fixtures.tokens(spark, sf_dir)).select(*cols),
+                        partition_by=["part"]).select(*cols)
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +37,12 @@ def truth_with_eos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match table with all flags for the fixture predictions of three models."""
+    """Match table with all flags for the fixture predictions of three models (written once)."""
+    from lexspark.sources.store import materialized
+    return materialized(spark, "match_flags", sf_dir, lambda: _flags(spark, sf_dir), partition_by=["part"])
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ct = clean_tokens(spark, sf_dir)
     train = ct.where(F.col("part") == "training")
     truth_pre = ct.where(F.col("part").isin("dev", "test"))

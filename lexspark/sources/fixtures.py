@@ -131,8 +131,8 @@ def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexspark.operators.clean import clean_for_train
-    return clean_for_train(tokens(spark, sf_dir))
+    from lexspark.plans.corpus import clean_tokens as ct
+    return ct(spark, sf_dir)
 
 
 def predictions(spark: SparkSession, sf_dir: str, models=(1, 2, 3)) -> DataFrame:
