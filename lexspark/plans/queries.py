@@ -324,3 +324,35 @@ def q_collapse_blanks(spark, d):
     docs = fixtures.read_table(spark, d, "documents").select("doc_id", "lang", "text")
     ln = fixtures.lines_of(docs).withColumnRenamed("sent_no", "line_no")
     return segment.collapse_blanks(ln, "doc_id", "line_no", "line").select("doc_id", "line_no", "line")
+
+
+# ---- byte-pair encoding (iterative: no SQL oracle; tests compare with a brute-force statement) ----
+
+from lexspark.operators import bpe  # noqa: E402
+
+BPE_MERGES = 20
+
+
+def _codes(spark, d):
+    train = corpus.clean_tokens(spark, d).where(F.col("part") == "training")
+    return bpe.learn(bpe.type_counts(train), BPE_MERGES)
+
+
+@query("bpe_learn")
+def q_bpe_learn(spark, d):
+    return _codes(spark, d)
+
+
+@query("bpe_apply")
+def q_bpe_apply(spark, d):
+    dev = corpus.clean_tokens(spark, d).where(F.col("part") == "dev")
+    seg = bpe.segment_types(bpe.type_counts(dev), _codes(spark, d))
+    return seg.select("type", F.array_join("units", " ").alias("units"))
+
+
+@query("word_context_bpe")
+def q_word_context_bpe(spark, d):
+    ct = corpus.clean_tokens(spark, d)
+    seg = bpe.segment_types(bpe.type_counts(ct, ("word",)), _codes(spark, d))
+    ex = context.build_examples(ct.where(F.col("part") == "dev"), TransformConfig(context_unit="bpe"), bpe_units=seg)
+    return context.as_text(ex).select("part", "doc_id", "sent_no", "word_no", "source", "target")
