@@ -1,0 +1,25 @@
+"""Hypothesis files arriving in a folder, parsed as they come (A1 on a stream).
+
+Stateless: each new file's lines are parsed into (lemma, tag) and appended
+to a parquet table; the stream's progress lives in ``checkpoint``, a folder
+on shared storage, so a restarted query continues where it stopped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from lexspark.operators.align import parse_line
+
+
+def parse_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
+                 model_id: int = 0, once: bool = True) -> StreamingQuery:
+    lines = spark.readStream.format("text").load(folder)
+    lemma, tag = parse_line(F.col("value"))
+    parsed = lines.select(F.lit(model_id).alias("model_id"), F.col("_metadata.file_path").alias("file"),
+                          F.col("value").alias("line"), lemma.alias("lemma"), tag.alias("tag"))
+    w = parsed.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    w = w.trigger(availableNow=True) if once else w.trigger(processingTime="30 seconds")
+    return w.start(out)
