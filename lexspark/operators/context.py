@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.config import TransformConfig, closing_tag
-from lexspark.functions.arrays import empty, lit_array, units_of
+from lexspark.functions.arrays import units_of
 
 SENT = ("part", "doc_id", "sent_no")
 
@@ -98,29 +98,19 @@ def _with_neighbours(sents: DataFrame, span: int, exclude_last_right: bool, sent
     return g.where(F.col("ws").isNotNull())
 
 
-def _render(L: Column, wb: str, T: Optional[Column], tb: str) -> Column:
-    """Context units in text order with boundaries (and tags) inserted.
-
-    A boundary goes before every unit that opens a word, except the first
-    one kept; a tag (left context) after every unit that closes a word.
-    Units of a word are contiguous, so the flags on the unit suffice and
-    the sliced array is never indexed again.
-    """
-    def one(x, j):
-        sep = F.when((j > 0) & x["f"], lit_array(wb)).otherwise(empty())
-        parts = [sep, F.array(x["u"])]
-        if T is not None:
-            parts.append(F.when(x["l"], F.concat(lit_array(tb), F.element_at(T, x["w"] + 1))).otherwise(empty()))
-        return F.concat(*parts)
-    return F.flatten(F.transform(L, one))
-
-
 def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[DataFrame] = None,
-                   sent=SENT) -> DataFrame:
-    """(sent keys, word_no, source ARRAY<STRING>, target ARRAY<STRING>).
+                   sent=SENT, as_arrays: bool = True) -> DataFrame:
+    """(sent keys, word_no, source, target), arrays of symbols (or text with ``as_arrays=False``).
 
     ``tokens``: cleaned tokens with ``word, lemma, tag`` and sentence keys.
     Sentences with no words yield no example (X13).
+
+    Per sentence (once): every unit is rendered as a piece of text, with the
+    word boundary in front when it opens a word and, for left-context tags,
+    the tag behind when it closes one.  Per word (after exploding the
+    words): the context is a ``slice`` of those pieces joined by blanks, a
+    leading boundary dropped; both are code-generated expressions, so the
+    per-word work is linear in the budget and runs in generated code.
     """
     cfg.validate()
     s = list(sent)
@@ -151,50 +141,66 @@ def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[
                      lambda a, p: F.struct((a["u"] + F.size(p["U"])).alias("u"), (a["c"] + p["nc"]).alias("c")))
     x = g.select(*s, "ws", comb.alias("cb"), a0.alias("off"))
 
-    U = F.col("cb")["U"]
-    k = cfg.context_size
-    N = cfg.context_char_size
-
-    def windows(wd):
-        a = F.col("off")["u"] + wd["u0"] + 1                 # first unit of the word (1-based)
-        b = a + F.size(wd["cu"]) - 1                          # last unit
-        C = F.col("off")["c"] + wd["c0"]                      # char offset where the word starts
-        E = C + F.length(wd["word"])                          # char offset where it ends
-        if N is not None:
-            lo = F.greatest(F.lit(1), a - N)
-            L = F.filter(F.slice(U, lo, a - lo), lambda y: y["c0"] >= C - N)
-            R = F.filter(F.slice(U, b + 1, F.lit(max(N, 0))), lambda y: y["c1"] <= E + N)
-        elif k is None or k < 0:
-            L = F.slice(U, F.lit(1), a - 1)
-            R = F.slice(U, b + 1, F.size(U) - b)
-        else:
-            lo = F.greatest(F.lit(1), a - k)
-            L = F.slice(U, lo, a - lo)
-            R = F.slice(U, b + 1, F.lit(k))
-        return F.struct(wd["word_no"].alias("word_no"), wd["word"].alias("word"), wd["lemma"].alias("lemma"),
-                        wd["tag"].alias("tag"), L.alias("L"), R.alias("R"))
+    wb, tb = cfg.word_boundary, cfg.tag_boundary
+    U, T = F.col("cb")["U"], F.col("cb")["T"]
+    piece = lambda e: F.when(e["f"], F.concat(F.lit(wb + " "), e["u"])).otherwise(e["u"])
+    per_sentence = [
+        F.transform(U, piece).alias("UP"),
+        F.transform(U, lambda e: e["c0"]).alias("UC0"),
+        F.transform(U, lambda e: e["c1"]).alias("UC1"),
+        F.col("off")["u"].alias("OU"), F.col("off")["c"].alias("OC"),
+    ]
+    if cfg.context_tags == "left":
+        per_sentence.append(F.transform(U, lambda e: F.when(e["l"], F.concat(
+            piece(e), F.lit(f" {tb} "), F.array_join(F.element_at(T, e["w"] + 1), " "))).otherwise(piece(e))).alias("UPT"))
+    # the sentence arrays are computed once, in a projection of their own below the
+    # generator (expressions placed next to a generator would run once per output row)
+    xs = x.select(*s, "ws", *per_sentence)
+    y = xs.select(*s, *[c for c in xs.columns if c not in (*s, "ws")], F.inline("ws"))
+
+    k, N = cfg.context_size, cfg.context_char_size
+    n_units = F.size("UP")
+    a = F.col("OU") + F.col("u0") + 1                  # first unit of the word (1-based)
+    b = a + F.size("cu") - 1                           # its last unit
+    C = F.col("OC") + F.col("c0")                      # char offset where the word starts
+    E = C + F.length("word")                           # and where it ends
+    if N is not None:
+        lo0 = F.greatest(F.lit(1), a - N)
+        lo = lo0 + F.size(F.filter(F.slice("UC0", lo0, a - lo0), lambda c: c < C - N))
+        n_left = a - lo
+        n_right = F.size(F.filter(F.slice("UC1", b + 1, F.lit(max(N, 0))), lambda c: c <= E + N))
+    elif k is None or k < 0:
+        lo, n_left, n_right = F.lit(1), a - 1, n_units - b
+    else:
+        lo = F.greatest(F.lit(1), a - k)
+        n_left, n_right = a - lo, F.least(F.lit(k), F.greatest(n_units - b, F.lit(0)))
+    pfx = wb + " "
 
+    def joined(arr, start, n):
+        t = F.array_join(F.slice(arr, start, n), " ")
+        t = F.when(t.startswith(pfx), F.substring(t, len(pfx) + 1, 1 << 30)).otherwise(t)
+        return F.nullif(t, F.lit(""))
 
-    wb, tb = cfg.word_boundary, cfg.tag_boundary
+    left_txt = joined("UPT" if cfg.context_tags == "left" else "UP", lo, n_left)
+    right_txt = joined("UP", b + 1, n_right)
     ob, cbd = cfg.example_boundary, closing_tag(cfg.example_boundary)
-    T = F.col("cb")["T"] if cfg.context_tags == "left" else None
     word_unit = "word" if cfg.word_unit == "word" else "char"
-
-    def render(wd):
-        e = windows(wd)
-        src = F.concat(lit_array(ob), _render(e["L"], wb, T, tb), lit_array(cfg.left_context_boundary),
-                       units_of(e["word"], word_unit), lit_array(cfg.right_context_boundary),
-                       _render(e["R"], wb, None, tb), lit_array(cbd))
-        lem, tag = units_of(e["lemma"], word_unit), units_of(e["tag"], cfg.tag_unit)
-        body = F.concat(tag, lit_array(tb), lem) if cfg.tag_first else F.concat(lem, lit_array(tb), tag)
-        tgt = F.concat(lit_array(ob), body, lit_array(cbd))
-        return F.struct(e["word_no"].alias("word_no"), src.alias("source"), tgt.alias("target"))
-
-    # one generator over the words; the combined sequence ``cb`` is computed once
-    # per sentence in the projection below it
-    return x.select(*s, F.inline(F.transform(F.col("ws"), render)))
+    jn = lambda c, unit: F.array_join(units_of(F.col(c), unit), " ")
+    src = F.concat_ws(" ", F.lit(ob), left_txt, F.lit(cfg.left_context_boundary), jn("word", word_unit),
+                      F.lit(cfg.right_context_boundary), right_txt, F.lit(cbd))
+    lem, tag = jn("lemma", word_unit), jn("tag", cfg.tag_unit)
+    body = [tag, F.lit(tb), lem] if cfg.tag_first else [lem, F.lit(tb), tag]
+    tgt = F.concat_ws(" ", F.lit(ob), *body, F.lit(cbd))
+    out = y.select(*s, "word_no", src.alias("source"), tgt.alias("target"))
+    if as_arrays:
+        out = out.withColumn("source", F.split("source", " ")).withColumn("target", F.split("target", " "))
+    return out
 
 
 def as_text(pairs: DataFrame) -> DataFrame:
-    """Render source / target arrays as blank-separated lines."""
-    return pairs.withColumn("source", F.array_join("source", " ")).withColumn("target", F.array_join("target", " "))
+    """Render source / target arrays as blank-separated lines (text passes through)."""
+    out = pairs
+    for c in ("source", "target"):
+        if c in out.columns and out.schema[c].dataType.typeName() == "array":
+            out = out.withColumn(c, F.array_join(c, " "))
+    return out

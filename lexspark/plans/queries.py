@@ -231,7 +231,7 @@ EXAMPLE_CONFIGS = {
 
 def _examples(cfg):
     def run(spark, d):
-        ex = context.build_examples(corpus.clean_tokens(spark, d), cfg)
+        ex = context.build_examples(corpus.clean_tokens(spark, d), cfg, as_arrays=False)
         return context.as_text(ex).select("part", "doc_id", "sent_no", "word_no", "source", "target")
     return run
 
@@ -243,7 +243,7 @@ for _n, _c in EXAMPLE_CONFIGS.items():
 @query("target_lines")
 def q_target_lines(spark, d):
     cfg = TransformConfig(word_unit="word", tag_unit="word", tag_first=True, context_size=0)
-    ex = context.build_examples(corpus.clean_tokens(spark, d), cfg)
+    ex = context.build_examples(corpus.clean_tokens(spark, d), cfg, as_arrays=False)
     return context.as_text(ex).select("part", "doc_id", "sent_no", "word_no", "target")
 
 
@@ -354,5 +354,6 @@ def q_bpe_apply(spark, d):
 def q_word_context_bpe(spark, d):
     ct = corpus.clean_tokens(spark, d)
     seg = bpe.segment_types(bpe.type_counts(ct, ("word",)), _codes(spark, d))
-    ex = context.build_examples(ct.where(F.col("part") == "dev"), TransformConfig(context_unit="bpe"), bpe_units=seg)
+    ex = context.build_examples(ct.where(F.col("part") == "dev"), TransformConfig(context_unit="bpe"), bpe_units=seg,
+                                as_arrays=False)
     return context.as_text(ex).select("part", "doc_id", "sent_no", "word_no", "source", "target")
