@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.config import TAG_BOUNDARY, WORD_BOUNDARY
-from lexspark.functions.joins import flag_member
+from lexspark.functions.joins import flag_member, skew_join
 from lexspark.operators.clean import eval_predicate
 from lexspark.functions.patterns import CYRILLIC_START, EXCLUDED_TAGS
 
@@ -123,8 +123,9 @@ def match_flags(match: DataFrame, train_pre: DataFrame, truth_pre: DataFrame,
         .select(F.col(part_col).alias("__p1"), F.col("word").alias("__aw"), F.lit(True).alias("__amb_t"))
     amb_tr = train_pre.groupBy("word").agg(F.count_distinct("lemma").alias("k")).where("k > 1") \
         .select(F.col("word").alias("__aw2"), F.lit(True).alias("__amb_tr"))
-    m = m.join(amb_t, (F.col(part_col) == F.col("__p1")) & (F.col("word_prediction") == F.col("__aw")), "left")
-    m = m.join(amb_tr, F.col("word_prediction") == F.col("__aw2"), "left")
+    m = skew_join(m.withColumn("__p1", F.col(part_col)).withColumn("__aw", F.col("word_prediction")),
+                  amb_t, ["__p1", "__aw"], "left")
+    m = skew_join(m.withColumn("__aw2", F.col("word_prediction")), amb_tr, ["__aw2"], "left")
     m = m.withColumn("ambiguous", F.coalesce(F.col("__amb_t"), F.lit(False)) | F.coalesce(F.col("__amb_tr"), F.lit(False))) \
         .drop("__p1", "__aw", "__amb_t", "__aw2", "__amb_tr")
     m = flag_member(m, "tag_truth", train_pre, "tag", "seen_tag")
@@ -132,8 +133,8 @@ def match_flags(match: DataFrame, train_pre: DataFrame, truth_pre: DataFrame,
     tags_t = truth_pre.where(F.col("tag").isNotNull()) \
         .select(F.col(part_col).alias("__p2"), F.col("tag").alias("__et")).distinct() \
         .withColumn("__ex_t", F.lit(True))
-    m = m.join(tags_t, (F.col(part_col) == F.col("__p2")) & (F.col("tag_prediction") == F.col("__et")), "left") \
-        .drop("__p2", "__et")
+    m = skew_join(m.withColumn("__p2", F.col(part_col)).withColumn("__et", F.col("tag_prediction")),
+                  tags_t, ["__p2", "__et"], "left").drop("__p2", "__et")
     m = flag_member(m, "tag_prediction", train_pre, "tag", "__ex_tr")
     return m.withColumn("existent_tag", F.coalesce(F.col("__ex_t"), F.lit(False)) | F.col("__ex_tr")) \
         .drop("__ex_t", "__ex_tr")

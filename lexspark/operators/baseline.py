@@ -7,7 +7,7 @@ from typing import Optional
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions.joins import flag_member
+from lexspark.functions.joins import skew_join
 from lexspark.operators.profile import ambiguous_words, unseen_type_table
 
 
@@ -30,7 +30,7 @@ def fit(train_pre: DataFrame) -> DataFrame:
 def predict(tokens: DataFrame, model: DataFrame, unknown_tag: Optional[str] = None) -> DataFrame:
     """Add ``pred_lemma`` (unknown -> the word) and ``pred_tag`` (unknown -> ``unknown_tag``)."""
     m = model.select(F.col("word").alias("__w"), F.col("lemma").alias("__l"), F.col("tag").alias("__t"))
-    out = tokens.join(m, tokens["word"] == m["__w"], "left")
+    out = skew_join(tokens.withColumn("__w", F.col("word")), m, ["__w"], "left")
     tag = F.coalesce(F.col("__t"), F.lit(unknown_tag)) if unknown_tag is not None else F.col("__t")
     return out.withColumn("pred_lemma", F.coalesce(F.col("__l"), F.col("word"))) \
         .withColumn("pred_tag", tag).drop("__w", "__l", "__t")
@@ -52,7 +52,7 @@ def scope_flags(flagged: DataFrame, train: str = "training") -> DataFrame:
         out = out.withColumn(f"unseen_{c}", F.col("is_eval") & F.coalesce(F.col("__hit"), F.lit(False))) \
             .drop("__p", "__u", "__hit")
     amb = ambiguous_words(ev).select(F.col("part").alias("__p"), F.col("word").alias("__aw"), F.lit(True).alias("__amb"))
-    out = out.join(amb, (F.col("part") == F.col("__p")) & (F.col("word") == F.col("__aw")), "left")
+    out = skew_join(out.withColumn("__p", F.col("part")).withColumn("__aw", F.col("word")), amb, ["__p", "__aw"], "left")
     return out.withColumn("ambiguous", F.col("is_eval") & F.coalesce(F.col("__amb"), F.lit(False))) \
         .drop("__p", "__aw", "__amb")
 
