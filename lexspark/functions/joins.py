@@ -33,7 +33,8 @@ def skew_join(big: DataFrame, small: DataFrame, keys, how: str = "left", hot_col
     """``big`` joined with ``small`` (at most one row per key) on the columns ``keys`` of both.
 
     ``hot_col`` (default: the last key) is the skewed column; ``hot`` its
-    hot values (default: ``top_keys`` of ``big``).
+    hot values (default: ``top_keys`` of ``big``).  In a chain of lookups pass
+    one ``hot`` computed from the chain's input: it keeps the plan linear.
     """
     k = list(keys)
     hc = hot_col or k[-1]
@@ -48,9 +49,10 @@ def skew_join(big: DataFrame, small: DataFrame, keys, how: str = "left", hot_col
     return b.drop("__hot").join(sm, k + ["__salt"], how).drop("__salt")
 
 
-def flag_member(df: DataFrame, key_col: str, members: DataFrame, member_col: str, flag: str) -> DataFrame:
+def flag_member(df: DataFrame, key_col: str, members: DataFrame, member_col: str, flag: str,
+                hot: Optional[DataFrame] = None) -> DataFrame:
     """Add BOOLEAN ``flag``: ``df[key_col]`` is among ``members[member_col]``; null -> false."""
     s = members.select(F.col(member_col).alias("__k")).where(F.col("__k").isNotNull()).distinct() \
         .withColumn("__hit", F.lit(True))
-    out = skew_join(df.withColumn("__k", F.col(key_col)), s, ["__k"], "left")
+    out = skew_join(df.withColumn("__k", F.col(key_col)), s, ["__k"], "left", hot=hot)
     return out.withColumn(flag, F.coalesce(F.col("__hit"), F.lit(False))).drop("__k", "__hit")

@@ -7,7 +7,7 @@ from typing import Optional
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions.joins import skew_join
+from lexspark.functions.joins import skew_join, top_keys
 from lexspark.operators.profile import ambiguous_words, unseen_type_table
 
 
@@ -27,10 +27,11 @@ def fit(train_pre: DataFrame) -> DataFrame:
     return _most_frequent(train_pre, "lemma").join(_most_frequent(train_pre, "tag"), "word", "full")
 
 
-def predict(tokens: DataFrame, model: DataFrame, unknown_tag: Optional[str] = None) -> DataFrame:
+def predict(tokens: DataFrame, model: DataFrame, unknown_tag: Optional[str] = None,
+            hot: Optional[DataFrame] = None) -> DataFrame:
     """Add ``pred_lemma`` (unknown -> the word) and ``pred_tag`` (unknown -> ``unknown_tag``)."""
     m = model.select(F.col("word").alias("__w"), F.col("lemma").alias("__l"), F.col("tag").alias("__t"))
-    out = skew_join(tokens.withColumn("__w", F.col("word")), m, ["__w"], "left")
+    out = skew_join(tokens.withColumn("__w", F.col("word")), m, ["__w"], "left", hot=hot)
     tag = F.coalesce(F.col("__t"), F.lit(unknown_tag)) if unknown_tag is not None else F.col("__t")
     return out.withColumn("pred_lemma", F.coalesce(F.col("__l"), F.col("word"))) \
         .withColumn("pred_tag", tag).drop("__w", "__l", "__t")
@@ -40,7 +41,7 @@ SCOPES = ("pre_all_tokens", "all_tokens", "unseen_word_tokens", "unseen_lemma_to
           "unseen_tag_tokens", "ambiguous_word_tokens")
 
 
-def scope_flags(flagged: DataFrame, train: str = "training") -> DataFrame:
+def scope_flags(flagged: DataFrame, train: str = "training", hot: Optional[DataFrame] = None) -> DataFrame:
     """Add the scope flags of B3 to cleaned tokens carrying ``is_eval``."""
     ev = flagged.where("is_eval")
     unseen = unseen_type_table(ev, train)
@@ -52,7 +53,7 @@ def scope_flags(flagged: DataFrame, train: str = "training") -> DataFrame:
         out = out.withColumn(f"unseen_{c}", F.col("is_eval") & F.coalesce(F.col("__hit"), F.lit(False))) \
             .drop("__p", "__u", "__hit")
     amb = ambiguous_words(ev).select(F.col("part").alias("__p"), F.col("word").alias("__aw"), F.lit(True).alias("__amb"))
-    out = skew_join(out.withColumn("__p", F.col("part")).withColumn("__aw", F.col("word")), amb, ["__p", "__aw"], "left")
+    out = skew_join(out.withColumn("__p", F.col("part")).withColumn("__aw", F.col("word")), amb, ["__p", "__aw"], "left", hot=hot)
     return out.withColumn("ambiguous", F.col("is_eval") & F.coalesce(F.col("__amb"), F.lit(False))) \
         .drop("__p", "__aw", "__amb")
 
@@ -64,8 +65,9 @@ def scores(flagged: DataFrame, model: DataFrame, unknown_tag: Optional[str] = No
     Accuracy is the share of right predictions (1.0 when there is no error;
     the reference fails there).  Empty scopes produce no row.
     """
-    f = scope_flags(flagged, train).where(F.col("part").isin(*parts))
-    p = predict(f, model, unknown_tag)
+    hot = top_keys(flagged, "word")  # counted once, shared by both lookups
+    f = scope_flags(flagged, train, hot).where(F.col("part").isin(*parts))
+    p = predict(f, model, unknown_tag, hot)
     ok_l = F.coalesce(F.col("pred_lemma") == F.col("lemma"), F.lit(False))
     ok_t = F.coalesce(F.col("pred_tag") == F.col("tag"), F.lit(False))
     names = F.array(F.lit("pre_all_tokens"),
