@@ -5,11 +5,19 @@ table) are written as parquet under ``spark.checkpoint.dir`` and read back:
 lineage is cut, a lost executor only reruns its own read, and later plans get
 column pruning and partition pruning on ``part``.  A table counts as present
 only when its ``_SUCCESS`` marker exists.
+
+A table's name includes a fingerprint of the code of this package, of the
+input files (sizes and modification times) and a run id (per session unless
+``lexspark.tables.run`` is set), so a changed input or changed code never
+reads an old table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
+from functools import lru_cache
 from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +34,45 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+@lru_cache(maxsize=1)
+def code_fingerprint() -> str:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for d, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(d, f), "rb") as fh:
+                    h.update(f.encode() + fh.read())
+    return h.hexdigest()[:16]
+
+
+def input_fingerprint(spark: SparkSession, path: str) -> str:
+    """Sizes and modification times of the files under ``path`` (listing only)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return "absent"
+    it = fs.listFiles(p, True)
+    items = []
+    while it.hasNext():
+        st = it.next()
+        items.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(items)).encode()).hexdigest()[:16]
+
+
+def run_id(spark: SparkSession) -> str:
+    rid = spark.conf.get("lexspark.tables.run", None)
+    if not rid:
+        rid = uuid.uuid4().hex[:12]
+        spark.conf.set("lexspark.tables.run", rid)
+    return rid
+
+
 def table_path(spark: SparkSession, name: str, key: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    h = hashlib.sha1(f"{VERSION}|{name}|{key}".encode()).hexdigest()[:16]
+    ident = f"{VERSION}|{name}|{key}|{code_fingerprint()}|{input_fingerprint(spark, key)}|{run_id(spark)}"
+    h = hashlib.sha1(ident.encode()).hexdigest()[:16]
     return f"{base}/lexspark-tables/{name}-{h}"
 
 
