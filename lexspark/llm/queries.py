@@ -15,8 +15,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm.warc import round_trip
+    return round_trip(table(spark, sf_dir, "pages")).drop("intact")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)""",
+}
