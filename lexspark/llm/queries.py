@@ -25,10 +25,16 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm.minhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
 }
 
 ORACLE: dict[str, str] = {
