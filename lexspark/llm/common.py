@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -65,3 +67,31 @@ def without(docs: DataFrame, bad: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key`` is not among ``bad[key]`` (null is a key like any other)."""
     keys = bad.select(F.col(key).alias("__key")).distinct()
     return docs.join(keys, same_key(docs[key], keys["__key"]), "left_anti")
+
+
+class Kept:
+    """A bounded cache in two generations: what was asked for lately stays."""
+
+    def __init__(self, limit: int) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.limit = limit
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def worker_state(name: str, make):
+    """An object that lives as long as its Python worker, over many tasks; ``make`` builds the first."""
+    home = sys.modules.setdefault("lexspark_worker_state", types.ModuleType("lexspark_worker_state"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)
