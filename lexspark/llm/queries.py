@@ -36,12 +36,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm.tokens import round_trip
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_bpe": op6_bpe,
+    "op10_token_ids": op10_token_ids,
 }
 
 ORACLE: dict[str, str] = {
