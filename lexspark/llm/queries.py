@@ -41,12 +41,26 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm.toxicity import score
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm.quality import KEEP, fit, score
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = score(docs, fit(docs)).select("doc_id", "quality_score")
+    return rows.withColumn("kept", rows["quality_score"] >= KEEP)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_bpe": op6_bpe,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op10_token_ids": op10_token_ids,
 }
 
