@@ -1,9 +1,9 @@
 """Quality classifier from weak labels.
 
-Seven cheap heuristics (shares of shouted, decorated, bare-symbol and repeated
-words, variety, line ends, word length) each vote good, bad or nothing on every
+Eight cheap heuristics (shares of shouted, decorated, bare-symbol and repeated
+words, variety, line ends, word length, lack of small words) each vote good, bad or nothing on every
 text.  Expectation-maximisation over the counts of all vote patterns (at most
-3^7 rows, whatever the corpus) estimates how often each heuristic votes what
+3^8 rows, whatever the corpus) estimates how often each heuristic votes what
 for good and for bad texts; the posterior of a pattern then labels the texts of
 a bounded sample, on which a linear scorer over hashed word shapes is trained.
 No given label is used.  A text is kept if its score is 0.5 or more.
@@ -14,7 +14,8 @@ columns; repeated rows get equal scores; of an empty table nothing is learnt.
 
 from __future__ import annotations
 
-import uuid
+import operator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import worker_state
+from lexspark.llm.common import saved, worker_state
 
 DIMS = 2_048
 SAMPLE = 10_000  # texts that train the linear scorer
 KEEP = 0.5
 # name -> bad if beyond the first bound, good if within the second
 BOUNDS = {"shouted": (0.25, 0.08), "decorated": (0.08, 0.02), "bare": (0.10, 0.02), "repeated": (0.10, 0.02),
-          "poor": (0.60, 0.50), "open_ended": (0.60, 0.20), "long_words": (6.8, 6.2)}
+          "poor": (0.60, 0.50), "open_ended": (0.60, 0.20), "long_words": (6.8, 6.2), "no_small_words": (0.90, 0.80)}
+BAD_VOTE = 8.0
+ENOUGH = 12  # words: fewer say nothing on their lengths
 VARIETY_WORDS = 1_500  # longer texts repeat words in any case: no vote on variety
 
 
@@ -43,20 +46,24 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-def _word(word: str) -> tuple[int, bool, bool, bool]:
-    """(bucket of the shape and length, shouted, decorated, bare) of a word."""
-    letters = [ch for ch in word if ch.isalpha()]
-    bare = not any(ch.isalnum() for ch in word)
+SHOUTED, DECORATED, BARE, LENGTH = DIMS, 2 * DIMS, 4 * DIMS, 8 * DIMS  # flags and length above a word's bucket
+
+
+def code(word: str) -> int:
+    """Bucket of the word's shape and length, with flags and the length."""
+    letters = sum(map(str.isalpha, word))
+    bare = not letters and not any(map(str.isalnum, word))
     tail = len(word) - len(word.rstrip("!?#$%&*+=~^|<>@_-"))
-    name = f"{shape(word[:64])}/{min(len(word), 16) // 3}"
-    return xxhash.xxh32_intdigest(name.encode()) % (DIMS - 2) + 2, len(letters) > 1 and word.upper() == word, tail > 1 and not bare, bare
+    at = xxhash.xxh32_intdigest(f"{shape(word[:64])}/{min(len(word), 16) // 3}".encode()) % (DIMS - 2) + 2
+    flags = SHOUTED * (letters > 1 and word.upper() == word) + DECORATED * (tail > 1 and not bare) + BARE * bare
+    return at + flags + LENGTH * min(len(word), 1_000)
 
 
 class _Words(dict):
-    def __missing__(self, word: str):
-        if len(self) > 200_000:
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
             self.clear()
-        found = self[word] = _word(word)
+        found = self[word] = code(word)
         return found
 
 
@@ -66,14 +73,17 @@ def read_text(text: str, words: dict) -> tuple[dict[str, float], np.ndarray]:
     n = len(found)
     if not n:
         return {}, np.zeros(DIMS, np.float32)
-    bucket, shouted, decorated, bare = zip(*map(words.__getitem__, found))
-    again = sum(a == b for a, b in zip(found, found[1:]))
+    codes = np.fromiter(map(words.__getitem__, found), np.int32, n)
+    again = sum(map(operator.eq, found, islice(found, 1, None)))
     lines = [x for x in map(str.rstrip, text.split("\n")) if x]
-    shares = {"shouted": sum(shouted) / n, "decorated": sum(decorated) / n, "bare": sum(bare) / n, "repeated": again / n,
-              "open_ended": sum(x[-1] not in ".!?\"')…" for x in lines) / max(len(lines), 1), "long_words": sum(map(len, found)) / n}
+    shares = {name: np.count_nonzero(codes & flag) / n for name, flag in (("shouted", SHOUTED), ("decorated", DECORATED), ("bare", BARE))}
+    spelt = (codes // LENGTH)[codes & BARE == 0]
+    shares |= {"repeated": again / n,  "open_ended": sum(x[-1] not in ".!?\"')…" for x in lines) / max(len(lines), 1)}
+    if len(spelt) >= ENOUGH:
+        shares |= {"long_words": spelt.mean(), "no_small_words": np.count_nonzero(spelt > 3) / len(spelt)}
     if 30 <= n <= VARIETY_WORDS:
         shares["poor"] = 1 - len(set(found)) / n
-    x = np.bincount(bucket, minlength=DIMS).astype(np.float32) / n
+    x = np.bincount(codes % DIMS, minlength=DIMS).astype(np.float32) / n
     x[0], x[1] = 1.0, again / n
     return shares, x
 
@@ -86,11 +96,12 @@ def votes(shares: dict[str, float]) -> str:
 def learn(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """(share of good texts, P(vote | class) per heuristic, posterior of good per pattern) by EM.
 
-    The start is the plain majority; a text without votes follows the share of good ones.
+    A heuristic sees one kind of fault, so at the start one bad vote weighs as much as
+    ``BAD_VOTE`` good ones; a text without votes follows the share of good ones.
     """
     codes = np.array([["gb-".index(c) for c in p] for p in patterns])
     good, bad = (codes == 0).sum(1), (codes == 1).sum(1)
-    posterior = (good + 1.0) / (good + 2 * bad + 1.5)
+    posterior = (good + 1.0) / (good + 1.0 + BAD_VOTE * bad)
     for _ in range(rounds):
         prior = float(np.clip((counts * posterior).sum() / counts.sum(), 1e-3, 1 - 1e-3))
         table = np.ones((2, codes.shape[1], 3))
@@ -108,16 +119,18 @@ def learn(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tuple[f
     return prior, table, posterior
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
+def train(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Weights of a logistic scorer for soft labels ``y`` (Adam on all rows, small penalty)."""
-    x = np.sqrt(x)
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    used = np.flatnonzero(x.any(0))
+    x, whole = np.sqrt(x[:, used]), np.zeros(x.shape[1])
+    w, m, v = (np.zeros(len(used), np.float32) for _ in range(3))
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) / len(y) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.2 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return w
+    whole[used] = w
+    return whole
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
@@ -139,9 +152,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray
                 features.append(np.rec.fromarrays([np.array(at, "<i4"), x[at].astype("<f4")]).tobytes() if len(at) else None)
             yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.array(features, pa.binary())], ["votes", "features"])
 
-    from lexspark.llm.common import saved
     seen = saved(docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string"), chosen.alias("mine")).mapInArrow(run, "votes string, features binary"), "votes")
-    rows = seen.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3^7
+    rows = seen.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3^8
     patterns, counts = [r["votes"] for r in rows], np.array([r["n"] for r in rows], float)
     posterior = dict(zip(patterns, learn(patterns, counts)[2]))
     some = seen.where("features IS NOT NULL").orderBy(F.xxhash64("features"), "features").limit(sample).collect()
@@ -151,7 +163,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray
     for k, r in enumerate(some):
         f = np.frombuffer(r["features"], kind)
         x[k, f["at"]] = f["value"]
-    return train(x, np.array([posterior[r["votes"]] for r in some]))
+    return train(x, np.array([posterior[r["votes"]] for r in some], np.float32))
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text", out: str = "quality_score") -> DataFrame:
