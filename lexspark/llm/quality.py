@@ -32,7 +32,7 @@ KEEP = 0.5
 BOUNDS = {"shouted": (0.25, 0.08), "decorated": (0.08, 0.02), "bare": (0.10, 0.02), "repeated": (0.10, 0.02),
           "poor": (0.60, 0.50), "open_ended": (0.60, 0.20), "long_words": (6.8, 6.2), "no_small_words": (0.90, 0.80)}
 BAD_VOTE = 8.0
-ENOUGH = 12  # words: fewer say nothing on their lengths
+ENOUGH = 12  # words: fewer say nothing on their lengths and ends
 VARIETY_WORDS = 1_500  # longer texts repeat words in any case: no vote on variety
 
 
@@ -78,9 +78,9 @@ def read_text(text: str, words: dict) -> tuple[dict[str, float], np.ndarray]:
     lines = [x for x in map(str.rstrip, text.split("\n")) if x]
     shares = {name: np.count_nonzero(codes & flag) / n for name, flag in (("shouted", SHOUTED), ("decorated", DECORATED), ("bare", BARE))}
     spelt = (codes // LENGTH)[codes & BARE == 0]
-    shares |= {"repeated": again / n,  "open_ended": sum(x[-1] not in ".!?\"')…" for x in lines) / max(len(lines), 1)}
+    shares["repeated"] = again / n
     if len(spelt) >= ENOUGH:
-        shares |= {"long_words": spelt.mean(), "no_small_words": np.count_nonzero(spelt > 3) / len(spelt)}
+        shares |= {"open_ended": sum(x[-1] not in ".!?\"')…" for x in lines) / len(lines), "long_words": spelt.mean(), "no_small_words": np.count_nonzero(spelt > 3) / len(spelt)}
     if 30 <= n <= VARIETY_WORDS:
         shares["poor"] = 1 - len(set(found)) / n
     x = np.bincount(codes % DIMS, minlength=DIMS).astype(np.float32) / n
