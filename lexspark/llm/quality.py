@@ -49,14 +49,19 @@ def shape(word: str) -> str:
 SHOUTED, DECORATED, BARE, LENGTH = DIMS, 2 * DIMS, 4 * DIMS, 8 * DIMS  # flags and length above a word's bucket
 
 
+def bucket(form: str, length: int) -> int:
+    return xxhash.xxh32_intdigest(f"{form}/{min(length, 16) // 3}".encode()) % (DIMS - 2) + 2
+
+
 def code(word: str) -> int:
     """Bucket of the word's shape and length, with flags and the length."""
+    if word.isalpha() and (word.islower() or word.istitle()):  # most words
+        return bucket("Xx" if word[0].isupper() else "x", len(word)) + LENGTH * min(len(word), 1_000)
     letters = sum(map(str.isalpha, word))
     bare = not letters and not any(map(str.isalnum, word))
     tail = len(word) - len(word.rstrip("!?#$%&*+=~^|<>@_-"))
-    at = xxhash.xxh32_intdigest(f"{shape(word[:64])}/{min(len(word), 16) // 3}".encode()) % (DIMS - 2) + 2
     flags = SHOUTED * (letters > 1 and word.upper() == word) + DECORATED * (tail > 1 and not bare) + BARE * bare
-    return at + flags + LENGTH * min(len(word), 1_000)
+    return bucket(shape(word[:64]), len(word)) + flags + LENGTH * min(len(word), 1_000)
 
 
 class _Words(dict):
@@ -104,12 +109,12 @@ def learn(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tuple[f
     posterior = (good + 1.0) / (good + 1.0 + BAD_VOTE * bad)
     for _ in range(rounds):
         prior = float(np.clip((counts * posterior).sum() / counts.sum(), 1e-3, 1 - 1e-3))
-        table = np.ones((2, codes.shape[1], 3))
+        table = np.ones((2, codes.shape[1], 2))
         for c, weight in enumerate((posterior, 1 - posterior)):
-            for v in range(3):
+            for v in range(2):
                 table[c, :, v] += ((codes == v) * (weight * counts)[:, None]).sum(0)
         table /= table.sum(2, keepdims=True)
-        log = np.log(table)
+        log = np.concatenate([np.log(table), np.zeros((*table.shape[:2], 1))], 2)  # silence says nothing
         like = [log[c, np.arange(codes.shape[1]), codes].sum(1) for c in (0, 1)]
         new = 1 / (1 + np.exp(np.clip(like[1] - like[0] + np.log((1 - prior) / prior), -60, 60)))
         done = abs(new - posterior).max() < 1e-9
