@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexspark.llm.common import table
+from lexspark.llm.lines import ORACLE as LINES
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +55,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("kept", rows["quality_score"] >= KEEP)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm.lines import dedup
+    rows = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
@@ -65,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_line_dedup": LINES,
     "op2_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
