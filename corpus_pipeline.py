@@ -33,8 +33,8 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of every group of near-duplicates."""
-    return without(docs, minhash.near_duplicates(docs, size=5, percent=80).where("NOT kept")).dropDuplicates(["doc_id"])
+    """The smallest document of every group of near-duplicates; rows that share an id are one document."""
+    return without(docs, minhash.near_duplicates(docs, size=5, percent=80).where("NOT kept"))
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
