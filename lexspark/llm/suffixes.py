@@ -309,14 +309,15 @@ def counted_windows(rows: DataFrame) -> DataFrame:
                     pa.array([h] * len(starts), pa.int64()), pa.array(starts, pa.int64())], ["window", "doc", "h", "start"])
 
     found = saved(rows.select(F.col("key").cast("string").alias("doc"), "h", "text", "at").mapInArrow(run, "window binary, doc string, h bigint, start bigint"), "windows")
-    again = found.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    # Written, so that the join has two plain shuffles and a very frequent window can be split.
+    again = saved(found.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "repeated-windows")
     return found.join(again, "window").select("doc", "h", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(doc, h, spans): stretches of each text (key, h, text) covered by repeated windows, unmerged."""
     light = saved(anchors(rows), "anchors")
-    shared = light.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1")
+    shared = saved(light.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1"), "shared-grams")
     light = light.join(shared, "gram").groupBy("key", "h").agg(
         F.collect_set(F.when(F.col("places") <= HOT, F.struct("gram", "a", "lo", "hi"))).alias("at"),
         F.collect_set(F.when(F.col("places") > HOT, F.struct("gram", "a", "lo", "hi"))).alias("hot"))
