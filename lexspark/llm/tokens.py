@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import os
 import re
 import struct
@@ -40,10 +41,14 @@ CACHE = 250_000
 
 
 class Encoder:
-    """A vocabulary of the tokenizers library; runs between single blanks are encoded once and kept.
-
-    The byte-level splitter always starts a piece at a blank between two characters that are not
-    white space, so the ids of a text are those of its runs, each with the blank before it.
+    """A vocabulary of the tokenizers library; words are encoded once and kept.
+
+    The byte-level splitter always starts a piece at a blank, and puts one before and after a line
+    feed, that stands between two characters that are not white space: the ids of such a text are
+    those of its words, each with the blank or line feed before it.  A full stop or comma after a
+    letter or digit starts a piece as well, and is held as a word of its own.  Missing words are encoded in
+    one call, a line each, and told apart by the id of the line feed.  Texts with other white space
+    next to each other, or with special tokens, go to the library whole.
     """
 
     def __init__(self, source: str) -> None:
@@ -53,55 +58,70 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.kind).itemsize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.edge, self.cut = re.compile(r"\s\s|^\s|\s$"), re.compile(r"(?<=\S) (?=\S)")
-        self.kept = Kept(CACHE)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self.other, self.kept = re.compile(r"[^\S \n]"), Kept(CACHE)
+        self.stop = re.compile(r"(?<=[^\W_])([.,])")
+        spec = json.loads(source)
+        before = spec.get("pre_tokenizer") or {}
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.by_word = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") \
+            and not before.get("add_prefix_space") and len(self.line) == 1
+
+    def edged(self, text: str) -> bool:
+        """White space at an end, next to white space, of another kind, or before a full stop or comma."""
+        return text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", "\n\n", " \n", "\n ", " .", " ,")) or bool(self.other.search(text))
+
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words without line feeds inside; a first "\\n", full stop or comma stands for itself, else a blank goes before."""
+        out = {}
+        stops = [w for w in words if w[0] in ".,"]
+        out.update(zip(stops, self.whole(stops)))
+        for starts in (True, False):
+            own = [w for w in words if (w[0] == "\n") == starts and w[0] not in ".,"]
+            for at in range(0, len(own), 5_000):
+                some = own[at:at + 5_000]
+                (e,) = self.library.encode_batch_fast(["".join(some) if starts else "\n " + "\n ".join(some)], add_special_tokens=False)
+                ids = np.array(e.ids, self.kind)
+                cuts = np.flatnonzero(ids == self.line[0])
+                if len(cuts) != len(some):
+                    raise ValueError("a word holds the id of the line feed")
+                data = ids.tobytes()
+                begin = ((cuts if starts else cuts + 1) * self.width).tolist()
+                end = [*(cuts[1:] * self.width).tolist(), len(data)]
+                out.update((w, data[b:e]) for w, b, e in zip(some, begin, end))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
-        runs, whole = [], []
+        out: list = [b""] * len(texts)
+        whole, parts, missing = [], {}, []
+        young, lost = self.kept.young, set()
         for k, text in enumerate(texts):
-            if any(s in text for s in self.special):
+            if not text:
+                continue
+            if not self.by_word or self.edged(text) or any(s in text for s in self.special):
                 whole.append(k)
-                runs.append(None)
-            else:
-                runs.append((self.cut.split(text) if self.edge.search(text) else text.split(" ")) if text else [])
-        get, fresh, lost, firsts = self.kept.get, {}, set(), {}
-        young = self.kept.young
-        for r in runs:
-            if r:
-                firsts[r[0]] = b""
-                for x in r[1:]:
-                    if x not in young and x not in fresh:
-                        value = get(x)
-                        young = self.kept.young
-                        if value is None:
-                            lost.add(x)
-                        else:
-                            fresh[x] = value  # a generation may end before it is used
-        order = list(lost)
-        for x, ids in zip(order, self._ids([" " + x for x in order])):
-            fresh[x] = ids
-        order = list(firsts)
-        firsts.update(zip(order, self._ids(order)))
-        out = []
-        young = dict(self.kept.young) if len(self.kept.young) + len(fresh) >= CACHE else self.kept.young
-        for x in lost:
-            if len(x) <= 64:
-                self.kept.put(x, fresh[x])
-        for r in runs:
-            if not r:
-                out.append(b"")
                 continue
-            parts = [firsts[r[0]]]
-            for x in r[1:]:
-                ids = fresh.get(x)
-                parts.append(young[x] if ids is None else ids)
-            out.append(b"".join(parts))
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
+            words = self.stop.sub(r" \1", text).replace("\n", " \n").split(" ")
+            words[0] = "\n" + words[0]
+            ids = parts[k] = list(map(young.get, words))
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                missing.append((ids, i, words[i]))
+                lost.add(words[i])
+        known = {w: x for w in lost if (x := self.kept.old.get(w)) is not None}
+        known |= self.fresh([w for w in lost if w not in known])
+        for ids, i, w in missing:
+            ids[i] = known[w]
+        for w, x in known.items():
+            if len(w) <= 64:
+                self.kept.put(w, x)
+        for k, ids in parts.items():
+            out[k] = b"".join(ids)[self.width:]  # without the line feed set before the first word
+        for k, ids in zip(whole, self.whole([texts[k] for k in whole])):
             out[k] = ids
         return out
 
