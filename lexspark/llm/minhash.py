@@ -3,10 +3,11 @@
 One pass over the texts gives every document the number of its distinct word
 shingles, a digest of that set, the band keys and a short signature of its hash
 minima.  Documents with equal sets are one node (the smallest id).  Nodes that
-share a band key are candidates: first every node of a bucket against the
-bucket's smallest node, which is linear in the bucket; after a first round of
-components, only those members of a bucket that are not yet in its centre's
-component meet the members of other components.  No candidate is left out:
+share a band key are candidates.  A bucket is worked off by hubs: the member that
+shares most bands with others (of a family, usually its origin) meets the whole
+bucket, links are verified and components formed; then the best member outside
+the hubs' components is the next hub.  After ``TURNS`` hubs the members still
+outside meet all members of other components.  No candidate is left out:
 whatever is skipped lies in one component already.  Candidates are verified by
 signature (cheap refusal of the hopeless) and then on the full shingle sets,
 which are recomputed from the texts of the documents concerned.
@@ -28,6 +29,7 @@ from lexspark.llm.common import binaries, same_key, saved, space_words
 from lexspark.llm.components import connected
 
 BANDS, ROWS = 24, 6
+TURNS = 4  # hubs a bucket tries before its open members meet all others
 HOPELESS = 4.0  # standard deviations of the estimate below the threshold
 
 
@@ -126,25 +128,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nodes = marked.where("n > 0").join(classes.select("node").distinct(), F.col("key") == F.col("node"), "left_semi") \
         .select(F.col("key").alias("node"), "bands", "sig")
     in_band = nodes.select("node", F.explode("bands").alias("band")).distinct()
-    hubs = in_band.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("band", "hub")
-    shared = saved(in_band.join(hubs, "band"), "buckets")  # members of buckets with two nodes or more
-    pairs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    concerned = shared.select("node").distinct()
-    base = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).cast("string").alias("text"))
-    texts = saved(base.join(concerned, "node", "left_semi").where("text IS NOT NULL").join(nodes.select("node", "sig"), "node").dropDuplicates(["node", "text"]), "texts")
-    links = saved(verified(pairs, texts, size, percent, bands * rows), "links")
-    parts = connected(links)
+    sizes = saved(in_band.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bands")
+    shared = saved(in_band.join(sizes, "band"), "buckets")  # members of buckets with two nodes or more
+    degree = saved(shared.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
+    base = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = saved(base.join(degree.select("node"), "node", "left_semi").join(nodes.select("node", "sig"), "node").distinct(), "texts")
+    work = saved(shared.join(degree, "node").select("band", "node", "degree"), "members")
+    hubs = None  # (band, hub): nodes that have been compared with all of their bucket
+    links = parts = None
+    for turn in range(TURNS + 1):
+        placed = work if parts is None else work.join(parts, "node", "left")
+        placed = placed.withColumn("part", F.col("node") if parts is None else F.coalesce("component", "node")).select("band", "node", "degree", "part")
+        placed = saved(placed, "placed")
+        if hubs is None:
+            open_members = placed
+        else:  # members that lie in no hub's component
+            own = placed.join(hubs.withColumnRenamed("hub", "node"), ["band", "node"], "left_semi").select("band", "part").distinct()
+            open_members = saved(placed.join(own, ["band", "part"], "left_anti"), "open")
+            if open_members.isEmpty():
+                break
+        if turn == TURNS:  # whatever is open meets every member of another component
+            one = open_members.select("band", F.col("node").alias("a"), F.col("part").alias("part_a"))
+            pairs = one.join(placed.select("band", F.col("node").alias("b"), "part"), "band").where("part_a <> part")
+        else:
+            best = open_members.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "part")).alias("m"))
+            best = saved(best.select("band", F.expr("-m.minus").alias("hub"), F.col("m.part").alias("hub_part")), "hubs")
+            work = placed.join(best.select("band"), "band", "left_semi").select("band", "node", "degree") if turn else work
+            pairs = placed.join(best, "band").where("part <> hub_part").select("band", F.col("node").alias("a"), F.col("hub").alias("b"))
+            hubs = best.select("band", "hub") if hubs is None else hubs.unionByName(best.select("band", "hub"))
+        pairs = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+        fresh = saved(verified(pairs, texts, size, percent, bands * rows), "links")
+        links = fresh if links is None else links.unionByName(fresh)
+        parts = saved(connected(links), "parts")
     part = F.coalesce("component", "node")
-    placed = shared.join(parts, "node", "left").select("band", "node", "hub", part.alias("part"))
-    centre = placed.where("node = hub").select("band", F.col("part").alias("centre"))
-    rest = placed.join(centre, "band")
-    rest = saved(rest.join(rest.where("part <> centre").select("band").distinct(), "band", "left_semi"), "rest")
-    one = rest.where("part <> centre").select("band", F.col("node").alias("a"), F.col("part").alias("part_a"))
-    two = rest.where("node <> hub").select("band", F.col("node").alias("b"), F.col("part").alias("part_b"), (F.col("part") != F.col("centre")).alias("out_b"))
-    more = one.join(two, "band").where("part_a <> part_b AND (NOT out_b OR a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, texts, size, percent, bands * rows))
-        parts = connected(links)
     of = classes.join(parts, "node", "left").select("cls", part.alias("component"))
     out = marked.select("key", "n", "cls").join(of, "cls", "left")
     own = F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component", "key")).cast("bigint")
