@@ -29,7 +29,7 @@ from lexspark.llm.common import binaries, same_key, saved, space_words
 from lexspark.llm.components import connected
 
 BANDS, ROWS = 24, 6
-TURNS = 4  # hubs a bucket tries before its open members meet all others
+TURNS = 1  # hubs a bucket tries before its open members meet all others
 HOPELESS = 4.0  # standard deviations of the estimate below the threshold
 
 
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         links = fresh if links is None else links.unionByName(fresh)
         parts = saved(connected(links), "parts")
     part = F.coalesce("component", "node")
-    of = classes.join(parts, "node", "left").select("cls", part.alias("component"))
+    of = saved(classes.join(parts, "node", "left").select("cls", part.alias("component")), "classes")  # two plain shuffles meet: a frequent class splits
     out = marked.select("key", "n", "cls").join(of, "cls", "left")
     own = F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component", "key")).cast("bigint")
     out = out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
