@@ -44,8 +44,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor:
     rows = saved(rows, "chunks")
     place = F.struct("doc", "no")
     groups = rows.groupBy("h", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <=> last = false")
-    shared = saved(rows.join(groups.drop("last"), ["h", "size"]), "shared-chunks")
-    firsts = shared.where(place == F.col("first")).select("h", "size", F.col("chunk").alias("first_chunk")).distinct()
+    groups = saved(groups.drop("last"), "repeated-chunks")  # two plain shuffles meet below: a frequent chunk splits
+    shared = saved(rows.join(groups, ["h", "size"]), "shared-chunks")
+    firsts = saved(shared.where(place == F.col("first")).select("h", "size", F.col("chunk").alias("first_chunk")).distinct(), "first-chunks")
     # A second text under one hash and size keeps all its places: nothing is removed on a hash alone.
     return shared.where(place != F.col("first")).join(firsts, ["h", "size"]).where("chunk = first_chunk").select("doc", "no").distinct()
 
