@@ -7,10 +7,14 @@ share a band key are candidates.  A bucket is worked off by hubs: the member tha
 shares most bands with others (of a family, usually its origin) meets the whole
 bucket, links are verified and components formed; then the best member outside
 the hubs' components is the next hub.  After ``TURNS`` hubs the members still
-outside meet all members of other components.  No candidate is left out:
-whatever is skipped lies in one component already.  Candidates are verified by
-signature (cheap refusal of the hopeless) and then on the full shingle sets,
-which are recomputed from the texts of the documents concerned.
+outside meet members of other components that they can be linked with: two sets
+at the threshold share a shingle among the first ``size - least overlap + 1`` of
+each in any common order, and here the shingles that the bucket's first hub lacks
+come first.  So near copies that differ in different places never meet.  No link
+is left out: whatever is skipped lies in one component already or cannot reach
+the threshold.  Candidates are verified by signature (cheap refusal of the
+hopeless) and then on the full shingle sets, which are recomputed from the texts
+of the documents concerned.
 
 Null texts and texts without words have an empty set and link with nothing.
 Rows that repeat an id are one node, and each keeps its row; a row with a null
@@ -29,7 +33,7 @@ from lexspark.llm.common import binaries, same_key, saved, space_words
 from lexspark.llm.components import connected
 
 BANDS, ROWS = 24, 6
-TURNS = 1  # hubs a bucket tries before its open members meet all others
+TURNS = 1  # hubs a bucket tries before its open members meet others
 HOPELESS = 4.0  # standard deviations of the estimate below the threshold
 
 
@@ -120,6 +124,36 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, count:
     return both.select("a", "b", "sig_a", "text_a", "sig_b", "text_b").mapInArrow(check, "a bigint, b bigint").distinct()
 
 
+def prefixes(around: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(hub, key, node, part, open, n) for the first shingles of every node of ``around`` (hub, node, part, open).
+
+    The order is the hub's: shingles that it lacks come first, then its own, each by hash.
+    """
+    both = around.join(texts.select("node", "text"), "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+
+    def run(batches):
+        words, last = _Words(), (None, None)
+        for batch in batches:
+            rows, keys, sizes = [], [], []
+            for i, (text, hub_text) in enumerate(zip(*(binaries(batch.column(c)) for c in ("text", "hub_text")))):
+                if last[0] != hub_text:
+                    last = (hub_text, shingles(hub_text, size, words))
+                mine = shingles(text, size, words)
+                count = len(mine) + (-percent * len(mine) // 100) + 1  # size less the least overlap (rounded up), plus one
+                strange = np.setdiff1d(mine, last[1], assume_unique=True)
+                if len(strange) < count:
+                    strange = np.concatenate([strange, np.intersect1d(mine, last[1], assume_unique=True)])
+                keys.append(strange[:count].view(np.int64))
+                rows.append(np.full(count, i))
+                sizes.append(np.full(count, len(mine)))
+            if rows:
+                taken = batch.select(["hub", "node", "part", "open"]).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([taken.column("hub"), pa.array(np.concatenate(keys)), *(taken.column(c) for c in ("node", "part", "open")),
+                                                  pa.array(np.concatenate(sizes))], ["hub", "key", "node", "part", "open", "n"])
+
+    return both.select("hub", "node", "part", "open", "text", "hub_text").mapInArrow(run, "hub bigint, key bigint, node bigint, part bigint, open boolean, n bigint")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: ``key``, n_shingles, component_id, kept.  Keys are integers."""
@@ -135,7 +169,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     texts = saved(base.join(degree.select("node"), "node", "left_semi").join(nodes.select("node", "sig"), "node").distinct(), "texts")
     work = saved(shared.join(degree, "node").select("band", "node", "degree"), "members")
     hubs = None  # (band, hub): nodes that have been compared with all of their bucket
-    links = parts = None
+    first = links = parts = None
     for turn in range(TURNS + 1):
         placed = work if parts is None else work.join(parts, "node", "left")
         placed = placed.withColumn("part", F.col("node") if parts is None else F.coalesce("component", "node")).select("band", "node", "degree", "part")
@@ -147,15 +181,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             open_members = saved(placed.join(own, ["band", "part"], "left_anti"), "open")
             if open_members.isEmpty():
                 break
-        if turn == TURNS:  # whatever is open meets every member of another component
-            one = open_members.select("band", F.col("node").alias("a"), F.col("part").alias("part_a"))
-            pairs = one.join(placed.select("band", F.col("node").alias("b"), "part"), "band").where("part_a <> part")
+        if turn == TURNS:  # whatever is open meets the members of other components that share one of its first shingles
+            around = placed.select("band", "node", "part").join(open_members.select("band").distinct(), "band", "left_semi").join(first, "band")
+            around = around.join(placed.select("band", F.col("node").alias("hub"), F.col("part").alias("hub_part")), ["band", "hub"])
+            around = saved(around.select("hub", "node", "part", (F.col("part") != F.col("hub_part")).alias("open")).distinct(), "around")
+            keyed = saved(prefixes(around, texts, size, percent), "prefixes")
+            one = keyed.where("open").select("hub", "key", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"))
+            alike = f"part_a <> part AND 100 * n >= {percent} * n_a AND 100 * n_a >= {percent} * n"
+            pairs = one.join(keyed.select("hub", "key", F.col("node").alias("b"), "part", "n"), ["hub", "key"]).where(alike)
         else:
             best = open_members.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "part")).alias("m"))
             best = saved(best.select("band", F.expr("-m.minus").alias("hub"), F.col("m.part").alias("hub_part")), "hubs")
             work = placed.join(best.select("band"), "band", "left_semi").select("band", "node", "degree") if turn else work
             pairs = placed.join(best, "band").where("part <> hub_part").select("band", F.col("node").alias("a"), F.col("hub").alias("b"))
-            hubs = best.select("band", "hub") if hubs is None else hubs.unionByName(best.select("band", "hub"))
+            first = best.select("band", "hub") if turn == 0 else first
+            hubs = first if hubs is None else hubs.unionByName(best.select("band", "hub"))
         pairs = saved(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
         fresh = saved(verified(pairs, texts, size, percent, bands * rows), "links")
         links = fresh if links is None else links.unionByName(fresh)

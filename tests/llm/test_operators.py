@@ -137,6 +137,32 @@ def test_minhash(spark, docs, none, texts):
     assert near_duplicates(none).count() == 0
 
 
+def test_minhash_family(spark):
+    """A family whose members are near to each other, or to members of members, but not to the hub."""
+    from lexspark.llm.minhash import near_duplicates, shingles, _Words
+    r = random.Random(7)
+    base = prose(11, 150).split()
+
+    def edited(words, edits):
+        out = list(words)
+        for at in r.sample(range(len(out)), edits):
+            out[at] = f"w{r.randrange(10 ** 6)}"
+        return out
+
+    members = [edited(base, r.choice([2, 5, 8, 10, 12])) for _ in range(40)]
+    members += [edited(r.choice(members), r.choice([1, 3, 4])) for _ in range(40)] + [m[:130] for m in members[:8]]
+    rows = [(i, " ".join(m)) for i, m in enumerate(members)]
+    sets = [set(shingles(t.lower().encode(), 3, _Words()).tolist()) for _, t in rows]
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 85 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = by_id(near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert 5 < len(set(root)) < 80 and [got[i]["component_id"] for i in range(len(root))] == root
+
+
 def test_components(spark):
     from lexspark.llm.components import connected
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
