@@ -92,13 +92,13 @@ def split_rejects(df: DataFrame):
 
 
 def qa_counts(df: DataFrame, group=("part",), long_symbols: int = 50, symbols_col: str = None) -> DataFrame:
-    """Alphabetic tokens; lemmas with > 1 form; words with > 1 reading."""
+    """Alphabetic tokens; lemmas with > 1 form; words with > 1 reading (a missing lemma or tag is none)."""
     g = list(group)
     alpha = df.groupBy(*g).agg(
         F.count("*").alias("n_tokens"),
         F.count_if(F.col("word").rlike(r"\p{L}")).alias("n_alpha"),
     )
-    forms = (df.groupBy(*g, "lemma").agg(F.count_distinct("word").alias("k"))
+    forms = (df.where(F.col("lemma").isNotNull()).groupBy(*g, "lemma").agg(F.count_distinct("word").alias("k"))
              .groupBy(*g).agg(F.count_if(F.col("k") > 1).alias("n_lemmas_multi_form")))
     readings = (df.groupBy(*g, "word").agg(F.count_distinct("lemma", "tag").alias("k"))
                 .groupBy(*g).agg(F.count_if(F.col("k") > 1).alias("n_words_multi_reading")))

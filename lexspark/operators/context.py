@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lexspark.config import TransformConfig, closing_tag
 from lexspark.functions.arrays import units_of
+from lexspark.operators.clean import drop_incomplete
 
 SENT = ("part", "doc_id", "sent_no")
 
@@ -103,7 +104,8 @@ def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[
     """(sent keys, word_no, source, target), arrays of symbols (or text with ``as_arrays=False``).
 
     ``tokens``: cleaned tokens with ``word, lemma, tag`` and sentence keys.
-    Sentences with no words yield no example (X13).
+    Sentences with no words yield no example (X13); nor do rows with a missing
+    word, lemma or tag, which ``clean.split_rejects`` routes to their own output.
 
     Per sentence (once): every unit is rendered as a piece of text, with the
     word boundary in front when it opens a word and, for left-context tags,
@@ -114,7 +116,7 @@ def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[
     """
     cfg.validate()
     s = list(sent)
-    sents = sentence_units(with_units(tokens, cfg, bpe_units), sent)
+    sents = sentence_units(with_units(drop_incomplete(tokens), cfg, bpe_units), sent)
     g = _with_neighbours(sents, cfg.context_span, cfg.exclude_last_right, sent)
 
     # combine the pieces into one sequence; own words start after the left pieces

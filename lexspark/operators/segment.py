@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.functions.ranking import global_row_number
+
 
 def number_sentences(rows: DataFrame, doc: str = "doc_id", order: str = "line_no",
                      blank: Column = None) -> DataFrame:
@@ -46,12 +48,21 @@ def segment_ngrams(tokens: DataFrame, n: int, col: str = "word", out: str = "uni
 
 
 def collapse_blanks(lines: DataFrame, doc: str = "doc_id", order: str = "line_no", text: str = "line") -> DataFrame:
-    """Runs of blank lines collapse to one, the first line of each file goes, blank-only -> ''.
+    """Runs of blank lines collapse to one and become '', the first line of the whole stream goes.
 
-    A line is blank when it has no fields (white space only).
+    The stream is the files one after the other, by ``doc``: a run may go on from
+    one file to the next.  A line is blank when it has no fields (white space
+    only).  Each file's last line reaches the next file through the files' global
+    order (one row per file), so no window spans more than a file.
     """
     blank = F.trim(F.col(text), F.lit(" \t")) == ""
+    x = lines.select(doc, order, text).withColumn("__b", blank)
+    ends = x.groupBy(doc).agg(F.max_by("__b", order).alias("__end"))
+    ends = global_row_number(ends, [F.col(doc)], "__rn")
+    before = ends.select((F.col("__rn") + 1).alias("__rn"), F.col("__end").alias("__before"))
+    carried = ends.select(doc, "__rn").join(before, "__rn", "left").select(doc, "__before")
     w = Window.partitionBy(doc).orderBy(order)
-    x = lines.withColumn("__b", blank).withColumn("__pb", F.lag("__b").over(w))
-    keep = (F.col(order) > 0) & ~(F.col("__b") & F.coalesce(F.col("__pb"), F.lit(False)))
-    return x.where(keep).withColumn(text, F.when(F.col("__b"), F.lit("")).otherwise(F.col(text))).drop("__b", "__pb")
+    x = x.withColumn("__pb", F.lag("__b").over(w)).withColumn("__no", F.row_number().over(w)).join(carried, doc)
+    previous = F.when(F.col("__no") == 1, F.col("__before")).otherwise(F.col("__pb"))  # null: first line of the stream
+    return x.where(previous.isNotNull() & ~(F.col("__b") & previous)).select(
+        doc, order, F.when(F.col("__b"), F.lit("")).otherwise(F.col(text)).alias(text))

@@ -33,7 +33,7 @@ def all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truth_with_eos(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspark.operators.segment import eos_flags
     ct = clean_tokens(spark, sf_dir).where(F.col("part").isin("dev", "test"))
-    return eos_flags(ct)
+    return clean.drop_incomplete(eos_flags(ct))  # C9: rows without a label are no truth
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def hypotheses_to_scores(hyps: DataFrame, truth_pre: DataFrame, train_pre: DataF
         pred = align.align_sentences(truth_pre, hyps)
     else:
         pred = align.align_words(truth_pre, hyps)
-    m = align.match_table(pred, eos_flags(truth_pre))
+    m = align.match_table(pred, clean.drop_incomplete(eos_flags(truth_pre)))
     return score.score_row(align.match_flags(m, train_pre, truth_pre, script=script))
 
 

@@ -19,16 +19,19 @@ ORACLE["qa_counts"] = with_("clean") + """SELECT a.part, a.n_tokens, a.n_alpha,
 FROM (SELECT part, count(*) AS n_tokens, count(*) FILTER (WHERE regexp_matches(word, '\\p{L}')) AS n_alpha
       FROM clean GROUP BY part) a
 LEFT JOIN (SELECT part, count(*) FILTER (WHERE k > 1) AS n_lemmas_multi_form
-           FROM (SELECT part, lemma, count(DISTINCT word) AS k FROM clean GROUP BY part, lemma) GROUP BY part) f
+           FROM (SELECT part, lemma, count(DISTINCT word) AS k FROM clean WHERE lemma IS NOT NULL GROUP BY part, lemma) GROUP BY part) f
   ON a.part = f.part
 LEFT JOIN (SELECT part, count(*) FILTER (WHERE k > 1) AS n_words_multi_reading
-           FROM (SELECT part, word, count(DISTINCT (lemma, tag)) AS k FROM clean GROUP BY part, word) GROUP BY part) r
+           FROM (SELECT part, word, count(DISTINCT CASE WHEN lemma IS NOT NULL AND tag IS NOT NULL THEN (lemma, tag) END) AS k FROM clean GROUP BY part, word) GROUP BY part) r
   ON a.part = r.part"""
 
-ORACLE["sentence_numbers"] = with_("doc_lines") + """SELECT doc_id, sent_no AS line_no,
+ORACLE["pairs_rejects"] = with_("clean") + f"""SELECT {TOK} FROM clean
+WHERE word IS NOT NULL AND (lemma IS NULL OR tag IS NULL)"""
+
+ORACLE["sentence_numbers"] = with_("line_stream") + """SELECT doc_id, line_no,
   CAST(coalesce(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (
-    PARTITION BY doc_id ORDER BY sent_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS sent_no
-FROM doc_lines QUALIFY trim(line) <> ''"""
+    PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS sent_no
+FROM line_stream QUALIFY trim(line) <> ''"""
 
 ORACLE["eos_flags"] = with_("clean") + """SELECT part, doc_id, sent_no, word_no,
   word_no = max(word_no) OVER (PARTITION BY part, doc_id, sent_no) AS eos FROM clean"""
@@ -220,16 +223,21 @@ LEFT JOIN pieces p ON p.model_id = h.model_id AND p.part = h.part AND p.doc_id =
 ORACLE["align_sentences"] = _align_sentences("clean")
 ORACLE["align_corpus"] = _align_sentences("raw_tokens")
 
-ORACLE["diff_accuracy"] = with_("match") + """, h AS (SELECT model_id, part, doc_id, sent_no,
+ORACLE["diff_accuracy"] = with_("match") + """, whole AS (
+  SELECT *, coalesce(lemma_prediction = lemma_truth, false) AS lemma_match,
+         coalesce(tag_prediction = tag_truth, false) AS tag_match,
+         coalesce(lemma_prediction = lemma_truth AND tag_prediction = tag_truth, false) AS joint_match FROM match0),
+blank AS (SELECT part, count(*) AS nb FROM (SELECT DISTINCT part, doc_id, sent_no FROM raw_tokens) GROUP BY part),
+h AS (SELECT model_id, part, doc_id, sent_no,
   CASE WHEN NOT lemma_match AND coalesce(lag(lemma_match) OVER w, true) THEN 1 ELSE 0 END AS hl,
   CASE WHEN NOT tag_match AND coalesce(lag(tag_match) OVER w, true) THEN 1 ELSE 0 END AS ht,
   CASE WHEN NOT joint_match AND coalesce(lag(joint_match) OVER w, true) THEN 1 ELSE 0 END AS hj
-  FROM flags WINDOW w AS (PARTITION BY model_id, part, doc_id, sent_no ORDER BY word_no)),
+  FROM whole WINDOW w AS (PARTITION BY model_id, part, doc_id, sent_no ORDER BY word_no)),
 s AS (SELECT model_id, part, doc_id, sent_no, count(*) AS k, sum(hl) AS hl, sum(ht) AS ht, sum(hj) AS hj
       FROM h GROUP BY model_id, part, doc_id, sent_no)
-SELECT model_id, part, CAST(sum(k) + count(*) AS BIGINT) AS n_lines,
-  1 - sum(hl) / (sum(k) + count(*)) AS lemma_acc, 1 - sum(ht) / (sum(k) + count(*)) AS tag_acc,
-  1 - sum(hj) / (sum(k) + count(*)) AS joint_acc FROM s GROUP BY model_id, part"""
+SELECT model_id, part, CAST(sum(k) + any_value(nb) AS BIGINT) AS n_lines,
+  1 - sum(hl) / (sum(k) + any_value(nb)) AS lemma_acc, 1 - sum(ht) / (sum(k) + any_value(nb)) AS tag_acc,
+  1 - sum(hj) / (sum(k) + any_value(nb)) AS joint_acc FROM s JOIN blank USING (part) GROUP BY model_id, part"""
 
 # ---- example construction ---------------------------------------------------
 
@@ -244,7 +252,7 @@ ORACLE["target_lines"] = "SELECT part, doc_id, sent_no, word_no, target FROM ("
     k=0, word_unit="word", tag_unit="word", tag_first=True) + ")"
 ORACLE["length_filter"] = """SELECT part, doc_id, sent_no, word_no, n_source, n_target FROM (
   SELECT *, CAST(len(string_split(source, ' ')) AS INTEGER) AS n_source,
-            CAST(len(string_split(target, ' ')) AS INTEGER) AS n_target FROM (""" + word_context_sql(k=20) + """))
+            CAST(len(string_split(target, ' ')) AS INTEGER) AS n_target FROM (""" + word_context_sql(k=40, tags=True) + """))
 WHERE n_source <= 120 AND n_target <= 120"""
 ORACLE["sentence_pairs"] = sentence_pairs_sql()
 ORACLE["sentence_splits"] = sentence_pairs_sql(n=2, size=50)
@@ -280,7 +288,7 @@ def _enc(side):
 
 
 ORACLE["encode_lines"] = "WITH " + _VOCAB + f""",
-devp AS {_pairs("part = 'dev'")},
+devp AS {_pairs("true")},
 {_enc('source')},
 {_enc('target')}
 SELECT s.part, s.doc_id, s.sent_no, s.word_no, s.source_ids, t.target_ids
@@ -335,8 +343,7 @@ FROM cf JOIN ga ON cf.experiment = ga.experiment WHERE ga.slice = 'all' AND ga.m
 
 
 def _grid_one(cfg):
-    sql = word_context_sql(source="(SELECT * FROM clean WHERE part = 'dev')",
-                           n=cfg.n, context_unit=cfg.context_unit,
+    sql = word_context_sql(n=cfg.n, context_unit=cfg.context_unit,
                            k=cfg.context_size, N=cfg.context_char_size)
     return f"""SELECT '{cfg.config_id('corpus')}' AS config_id, count(*) AS n_pairs,
   CAST(sum(len(string_split(source, ' '))) AS BIGINT) AS n_source_symbols,
@@ -347,7 +354,7 @@ FROM ({sql})"""
 
 ORACLE["config_grid"] = "\nUNION ALL\n".join(_grid_one(c) for c in TEST_GRID)
 
-ORACLE["collapse_blanks"] = with_("doc_lines") + """SELECT doc_id, line_no, CASE WHEN b THEN '' ELSE line END AS line
-FROM (SELECT doc_id, sent_no AS line_no, line, trim(line, ' ' || chr(9)) = '' AS b,
-             lag(trim(line, ' ' || chr(9)) = '') OVER (PARTITION BY doc_id ORDER BY sent_no) AS pb FROM doc_lines)
-WHERE line_no > 0 AND NOT (b AND coalesce(pb, false))"""
+ORACLE["collapse_blanks"] = with_("line_stream") + """SELECT doc_id, line_no, CASE WHEN b THEN '' ELSE line END AS line
+FROM (SELECT doc_id, line_no, line, trim(line, ' ' || chr(9)) = '' AS b,
+             lag(trim(line, ' ' || chr(9)) = '') OVER (ORDER BY doc_id, line_no) AS pb FROM line_stream)
+WHERE pb IS NOT NULL AND NOT (b AND pb)"""

@@ -39,7 +39,8 @@ def word_context_sql(source="clean", n=1, context_unit="char", k=20, N=None, spa
                f"OR lead(x.word_no) OVER s <> x.word_no) THEN ' + ' || {_spaced('x.tag', tag_unit)} ELSE '' END"
                if tags else "")
     return with_("clean") + f""", tk AS (
-  SELECT part, doc_id, sent_no, word_no, word, lemma, tag, {cu} AS cu FROM {source}),
+  SELECT part, doc_id, sent_no, word_no, word, lemma, tag, {cu} AS cu FROM {source}
+  WHERE word IS NOT NULL AND lemma IS NOT NULL AND tag IS NOT NULL),
 tw AS (SELECT *,
   CAST(coalesce(sum(len(cu)) OVER d, 0) AS BIGINT) AS a0,
   CAST(coalesce(sum(length(word)) OVER d, 0) AS BIGINT) AS ch0
@@ -87,7 +88,8 @@ def sentence_pairs_sql(source="clean", n=1, size=None, word_unit="char", tag_uni
         pre = ""
     else:
         pre = f""", lens AS (
-  SELECT part, doc_id, sent_no, list({tl} ORDER BY word_no) AS ls FROM {source} GROUP BY part, doc_id, sent_no),
+  SELECT part, doc_id, sent_no, list({tl} ORDER BY word_no) AS ls FROM {source}
+  WHERE word IS NOT NULL AND lemma IS NOT NULL AND tag IS NOT NULL GROUP BY part, doc_id, sent_no),
 starts AS (
   SELECT part, doc_id, sent_no, list_reduce(ls, lambda acc, x: CASE WHEN acc.i > 0 AND acc.cur + x > {size}
       THEN {{'i': acc.i + 1, 'cur': 1 + x, 'starts': list_append(acc.starts, acc.i)}}
@@ -95,7 +97,8 @@ starts AS (
       {{'i': 0, 'cur': 1, 'starts': [0]}}).starts AS st FROM lens)"""
         split = "len(list_filter(s.st, lambda v: v <= t.idx)) - 1"
     return with_("clean") + f""", t0 AS (
-  SELECT *, row_number() OVER (PARTITION BY part, doc_id, sent_no ORDER BY word_no) - 1 AS idx FROM {source}){pre},
+  SELECT *, row_number() OVER (PARTITION BY part, doc_id, sent_no ORDER BY word_no) - 1 AS idx FROM {source}
+  WHERE word IS NOT NULL AND lemma IS NOT NULL AND tag IS NOT NULL){pre},
 t AS (SELECT t.*, CAST({split} AS INTEGER) AS split_no FROM t0 t
       {'' if size is None else 'JOIN starts s USING (part, doc_id, sent_no)'})
 SELECT part, doc_id, sent_no, split_no,

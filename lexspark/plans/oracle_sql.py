@@ -24,6 +24,12 @@ CTE["doc_lines"] = """doc_lines AS (
          CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS sent_no
   FROM documents)"""
 
+CTE["line_stream"] = """line_stream AS (
+  SELECT doc_id, unnest(ls) AS line, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no
+  FROM (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)),
+          lambda x, i: list_concat([x], list_transform(range((doc_id + i - 1) % 4), lambda z: ' ')))) AS ls
+        FROM documents))"""
+
 CTE["raw_tokens"] = f"""raw_tokens0 AS (
   SELECT doc_id, lang, sent_no,
          unnest(regexp_extract_all(line, '{TOKEN_RE}')) AS word,
@@ -32,14 +38,17 @@ CTE["raw_tokens"] = f"""raw_tokens0 AS (
 raw_tokens AS (
   SELECT CAST(doc_id AS BIGINT) AS doc_id, lang,
          CASE doc_id % 10 WHEN 8 THEN 'dev' WHEN 9 THEN 'test' ELSE 'training' END AS part,
-         sent_no, word_no, word,
-         CASE WHEN NOT regexp_matches(word, '^\\p{{L}}') OR doc_id % 7 = 0
+         sent_no, word_no, CASE WHEN (doc_id + 3 * sent_no + word_no) % 97 <> 2 THEN word END AS word,
+         CASE WHEN (doc_id + 3 * sent_no + word_no) % 97 = 1 THEN NULL
+              WHEN NOT regexp_matches(word, '^\\p{{L}}') OR doc_id % 7 = 0
                    OR regexp_replace(word, '{ENDING_RE}', '') = '' THEN word
               ELSE regexp_replace(word, '{ENDING_RE}', '') END AS lemma,
-         (CASE WHEN NOT regexp_matches(word, '^\\p{{L}}') THEN 'punct'
+         (CASE WHEN (doc_id + 3 * sent_no + word_no) % 97 = 0 THEN NULL
+               WHEN NOT regexp_matches(word, '^\\p{{L}}') THEN 'punct'
                WHEN word_no > 0 AND regexp_matches(word, '^\\p{{Lu}}') THEN 'Np' || lang
                WHEN length(word) <= 3 THEN 'R' || CASE WHEN doc_id % 5 = 0 THEN 'c' ELSE '' END
                WHEN length(word) <= 6 THEN 'Nc' || lang
+               WHEN doc_id % 10 >= 8 AND (doc_id + word_no) % 5 = 0 THEN 'Xu' || lang
                ELSE 'Vp' || lang END)
          || CASE WHEN doc_id % 11 = 0 THEN '+0' ELSE '' END AS tag
   FROM raw_tokens0)"""
@@ -127,8 +136,9 @@ hyps AS (
   FROM hw GROUP BY model_id, part, doc_id, sent_no)"""
 
 CTE["truth_eos"] = """truth_eos AS (
-  SELECT *, word_no = max(word_no) OVER (PARTITION BY part, doc_id, sent_no) AS eos
-  FROM clean WHERE part IN ('dev', 'test'))"""
+  SELECT * FROM (SELECT *, word_no = max(word_no) OVER (PARTITION BY part, doc_id, sent_no) AS eos
+                 FROM clean WHERE part IN ('dev', 'test'))
+  WHERE word IS NOT NULL AND lemma IS NOT NULL AND tag IS NOT NULL)"""
 
 CTE["match"] = """match0 AS (
   SELECT p.model_id, p.part, p.doc_id, p.sent_no, p.word_no,
@@ -155,7 +165,7 @@ flags AS (
   FROM match0 m
   WHERE """ + eval_pred("m.word_truth", "m.tag_truth") + ")"
 
-ORDER = ["doc_lines", "raw_tokens", "clean", "flagged", "alltok", "bl_lemma", "bl_tag", "bl_model",
+ORDER = ["doc_lines", "line_stream", "raw_tokens", "clean", "flagged", "alltok", "bl_lemma", "bl_tag", "bl_model",
          "preds", "hyps", "truth_eos", "match"]
 
 

@@ -42,6 +42,12 @@ def q_rejects(spark, d):
     return clean.rejects(p).select("model_id", *TOK)
 
 
+@query("pairs_rejects")
+def q_pairs_rejects(spark, d):
+    # What the example builders leave out
+    return clean.split_rejects(corpus.clean_tokens(spark, d))[1].select(*TOK)
+
+
 @query("qa_counts")
 def q_qa_counts(spark, d):
     return clean.qa_counts(corpus.clean_tokens(spark, d))
@@ -50,8 +56,7 @@ def q_qa_counts(spark, d):
 @query("sentence_numbers")
 def q_sentence_numbers(spark, d):
     # line stream of each document; an empty line ends a sentence
-    docs = fixtures.read_table(spark, d, "documents").select("doc_id", "lang", "text")
-    ln = fixtures.lines_of(docs).withColumnRenamed("sent_no", "line_no")
+    ln = fixtures.line_stream(spark, d)
     out = segment.number_sentences(ln, "doc_id", "line_no", blank=(F.trim(F.col("line")) == ""))
     return out.where(F.trim(F.col("line")) != "").select(
         "doc_id", F.col("line_no").cast("int").alias("line_no"), "sent_no")
@@ -209,10 +214,11 @@ def q_align_corpus(spark, d):
 
 @query("diff_accuracy")
 def q_diff_accuracy(spark, d):
-    f = corpus.flags(spark, d)
-    lines = f.select("model_id", "part", "doc_id", "sent_no", "word_no",
-                     F.col("lemma_match").alias("lemma_ok"), F.col("tag_match").alias("tag_ok"))
-    return score.diff_accuracy(lines)
+    # whole files are compared: no evaluation filter
+    m = align.match_table(fixtures.predictions(spark, d), corpus.truth_with_eos(spark, d))
+    ok = lambda c: F.coalesce(F.col(f"{c}_prediction") == F.col(f"{c}_truth"), F.lit(False)).alias(f"{c}_ok")
+    lines = m.select("model_id", "part", "doc_id", "sent_no", "word_no", ok("lemma"), ok("tag"))
+    return score.diff_accuracy(lines, fixtures.tokens(spark, d).select("part", "doc_id", "sent_no"))
 
 
 # ---- example construction ---------------------------------------------------
@@ -249,7 +255,7 @@ def q_target_lines(spark, d):
 
 @query("length_filter")
 def q_length_filter(spark, d):
-    ex = context.build_examples(corpus.clean_tokens(spark, d), EXAMPLE_CONFIGS["word_context_units"])
+    ex = context.build_examples(corpus.clean_tokens(spark, d), TransformConfig(context_size=40, context_tags="left"))
     kept = clean.length_filter(ex, 120)
     return kept.select("part", "doc_id", "sent_no", "word_no",
                        F.size("source").alias("n_source"), F.size("target").alias("n_target"))
@@ -282,8 +288,7 @@ def q_vocabulary(spark, d):
 @query("encode_lines")
 def q_encode_lines(spark, d):
     v = vocab.vocabulary(corpus.training_pairs(spark, d))
-    ct = corpus.clean_tokens(spark, d).where(F.col("part") == "dev")
-    pairs = context.build_examples(ct, TransformConfig())
+    pairs = context.build_examples(corpus.clean_tokens(spark, d), TransformConfig())
     keys = ["part", "doc_id", "sent_no", "word_no"]
     enc = vocab.encode(pairs, v, keys)
     return enc.select(*keys, F.array_join(F.col("source_ids").cast("array<string>"), " ").alias("source_ids"),
@@ -315,15 +320,12 @@ def q_results_sheet(spark, d):
 
 @query("config_grid")
 def q_config_grid(spark, d):
-    ct = corpus.clean_tokens(spark, d).where(F.col("part") == "dev")
-    return flows.config_grid(ct, TEST_GRID)
+    return flows.config_grid(corpus.clean_tokens(spark, d), TEST_GRID)
 
 
 @query("collapse_blanks")
 def q_collapse_blanks(spark, d):
-    docs = fixtures.read_table(spark, d, "documents").select("doc_id", "lang", "text")
-    ln = fixtures.lines_of(docs).withColumnRenamed("sent_no", "line_no")
-    return segment.collapse_blanks(ln, "doc_id", "line_no", "line").select("doc_id", "line_no", "line")
+    return segment.collapse_blanks(fixtures.line_stream(spark, d), "doc_id", "line_no", "line")
 
 
 # ---- byte-pair encoding (iterative: no SQL oracle; tests compare with a brute-force statement) ----
@@ -345,8 +347,7 @@ def q_bpe_learn(spark, d):
 
 @query("bpe_apply")
 def q_bpe_apply(spark, d):
-    dev = corpus.clean_tokens(spark, d).where(F.col("part") == "dev")
-    seg = bpe.segment_types(bpe.type_counts(dev), _codes(spark, d))
+    seg = bpe.segment_types(bpe.type_counts(corpus.clean_tokens(spark, d)), _codes(spark, d))
     return seg.select("type", F.array_join("units", " ").alias("units"))
 
 
@@ -354,6 +355,5 @@ def q_bpe_apply(spark, d):
 def q_word_context_bpe(spark, d):
     ct = corpus.clean_tokens(spark, d)
     seg = bpe.segment_types(bpe.type_counts(ct, ("word",)), _codes(spark, d))
-    ex = context.build_examples(ct.where(F.col("part") == "dev"), TransformConfig(context_unit="bpe"), bpe_units=seg,
-                                as_arrays=False)
+    ex = context.build_examples(ct, TransformConfig(context_unit="bpe"), bpe_units=seg, as_arrays=False)
     return context.as_text(ex).select("part", "doc_id", "sent_no", "word_no", "source", "target")

@@ -13,7 +13,12 @@ Rules (per document):
   lemma    = word without the ending (tion|ing|ment|en|s|e) for letter runs
              unless doc_id % 7 = 0 (then the word; also if nothing is left);
   tag      = punct | Np<lang> | R[c] | Nc<lang> | Vp<lang>, plus "+0" when
-             doc_id % 11 = 0.
+             doc_id % 11 = 0; Xu<lang> for letter runs of more than 6 in dev
+             and test when (doc_id + word_no) % 5 = 0 (no training word has it);
+  missing  = (doc_id + 3 * sent_no + word_no) % 97: 0 loses the tag, 1 the
+             lemma, 2 the word.
+The line stream (sentence numbers, blank runs) puts (doc_id + line) % 4 blank
+lines behind every line.
 """
 
 from __future__ import annotations
@@ -63,6 +68,7 @@ def derive_tag(doc_id: Column, word_no: Column, word: Column, lang: Column) -> C
         .when((word_no > 0) & word.rlike(r"^\p{Lu}"), F.concat(F.lit("Np"), lang))
         .when(n <= 3, F.concat(F.lit("R"), F.when(doc_id % 5 == 0, "c").otherwise("")))
         .when(n <= 6, F.concat(F.lit("Nc"), lang))
+        .when((doc_id % 10 >= 8) & ((doc_id + word_no) % 5 == 0), F.concat(F.lit("Xu"), lang))
         .otherwise(F.concat(F.lit("Vp"), lang))
     )
     return F.when(doc_id % 11 == 0, F.concat(base, F.lit("+0"))).otherwise(base)
@@ -76,6 +82,14 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", keep=("la
     )
 
 
+def line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, line): the lines of all documents, blank lines put in by rule."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    spaced = F.flatten(F.transform("lines", lambda x, i: F.concat(
+        F.array(x), F.array_repeat(F.lit(" "), F.pmod(F.col("doc_id") + i, F.lit(4)).cast("int")))))
+    return docs.select("doc_id", F.posexplode(spaced).alias("line_no", "line"))
+
+
 def tokens_from_lines(lines: DataFrame) -> DataFrame:
     """Split lines into tokens and annotate them by the fixed rules.
 
@@ -87,8 +101,10 @@ def tokens_from_lines(lines: DataFrame) -> DataFrame:
     lang = F.col("lang")
 
     def annotate(w, i):
-        return F.struct(i.cast("int").alias("word_no"), w.alias("word"),
-                        derive_lemma(doc, w).alias("lemma"), derive_tag(doc, i, w, lang).alias("tag"))
+        lost = (doc + 3 * F.col("sent_no") + i) % 97
+        return F.struct(i.cast("int").alias("word_no"), F.when(lost != 2, w).alias("word"),
+                        F.when(lost != 1, derive_lemma(doc, w)).alias("lemma"),
+                        F.when(lost != 0, derive_tag(doc, i, w, lang)).alias("tag"))
 
     t = lines.select(
         "doc_id", "lang", "sent_no",

@@ -27,7 +27,7 @@ from lexspark.session import ensure_checkpoint_dir
 VERSION = "1"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -79,7 +79,7 @@ def table_path(spark: SparkSession, name: str, key: str) -> str:
 def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame],
                  partition_by: Sequence[str] = ()) -> DataFrame:
     path = table_path(spark, name, key)
-    if not _exists(spark, path + "/_SUCCESS"):
+    if not exists(spark, path + "/_SUCCESS"):
         w = build().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
