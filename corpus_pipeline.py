@@ -44,8 +44,7 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents left: doc_id, ids (little-endian, 32 bits), n_tokens, and digests of ids and decoded text."""
-    rows = bpe.encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), VOCABULARY).drop("text")
-    rows = bpe.decode(rows, VOCABULARY)
+    rows = bpe.encode_decode(docs.select("doc_id", F.col("text").cast("string").alias("text")), VOCABULARY)
     return rows.select("doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"), "ids",
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -151,7 +151,8 @@ class Model:
         return " ".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _each(rows: DataFrame, vocabulary: str, value: str, out: str, kind: str, work) -> DataFrame:
+def _each(rows: DataFrame, vocabulary: str, value: str, steps: list, keep: bool = True) -> DataFrame:
+    """``rows`` with a column per step (name, type, function of the model and the values before), in one pass."""
     with open(vocabulary, encoding="utf-8") as f:
         source = rows.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary: a fixed size
 
@@ -161,26 +162,43 @@ def _each(rows: DataFrame, vocabulary: str, value: str, out: str, kind: str, wor
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.slice(at, BATCH)
-                values = work(model, part.column(value).to_pylist())
-                yield part.append_column(out, pa.array(values, pa.binary() if kind == "binary" else pa.string()))
+                values = part.column(value).to_pylist()
+                part = part.select(kept)
+                for out, kind, work in steps:
+                    values = work(model, values)
+                    part = part.append_column(out, pa.array(values, pa.binary() if kind == "binary" else pa.string()))
+                yield part
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{schema}, `{out}` {kind}")
+    kept = [c for c in rows.columns if keep or c != value]
+    schema = [f"`{c}` {t}" for c, t in rows.dtypes if c in kept] + [f"`{out}` {kind}" for out, kind, _ in steps]
+    return rows.mapInArrow(run, ", ".join(schema))
+
+
+def _ids(m: Model, values: list) -> list:
+    return [m.encode(v) if v else b"" for v in values]
+
+
+def _text(m: Model, values: list) -> list:
+    return [m.decode(v) if v else "" for v in values]
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text`` (little-endian, 32 bits each) in ``out``."""
-    return _each(docs, vocabulary, text, out, "binary", lambda m, values: [m.encode(v) if v else b"" for v in values])
+    return _each(docs, vocabulary, text, [(out, "binary", _ids)])
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of ``ids`` in ``out``."""
-    return _each(rows, vocabulary, ids, out, "string", lambda m, values: [m.decode(v) if v else "" for v in values])
+    return _each(rows, vocabulary, ids, [(out, "string", _text)])
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``docs`` without ``text`` but with its ids and their text: one worker holds the model for both."""
+    return _each(docs, vocabulary, text, [(ids, "binary", _ids), (out, "string", _text)], keep=False)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    rows = encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), vocabulary).drop("text")
-    rows = decode(rows, vocabulary)
+    rows = encode_decode(docs.select("doc_id", F.col("text").cast("string").alias("text")), vocabulary)
     return rows.select("doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -90,8 +90,10 @@ class Kept:
 
 
 def worker_state(name: str, make):
-    """An object that lives as long as its Python worker, over many tasks; ``make`` builds the first."""
+    """An object that outlives the tasks of its Python worker, until another name is asked for; ``make`` builds it."""
     home = sys.modules.setdefault("lexspark_worker_state", types.ModuleType("lexspark_worker_state"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    held = vars(home).setdefault("held", {})
+    if name not in held:
+        held.clear()  # an earlier stage's caches make room
+        held[name] = make()
+    return held[name]
