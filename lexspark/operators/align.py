@@ -47,8 +47,8 @@ def align_words(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "sent
                 model_col: str = "model_id") -> DataFrame:
     """A2: truth row <-> hypothesis row of the same example key.
 
-    Returns truth words with parsed (lemma, tag); ``n_missing`` / ``n_extra``
-    are available from ``align_check``.
+    Returns truth words with parsed (lemma, tag).  ``align_check`` counts what
+    has no partner; ``require_aligned`` fails on any.
     """
     k = list(keys)
     parsed = parse_hypotheses(hyps)
@@ -58,15 +58,25 @@ def align_words(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "sent
 
 def align_check(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "sent_no", "word_no"),
                 model_col: str = "model_id") -> DataFrame:
-    """A2 check: per model, examples without hypothesis and hypotheses without example."""
+    """A2 check: per model, examples without hypothesis and hypotheses without example.
+
+    (model, n_matched, n_missing, n_extra): one pass over the joined keys; the
+    number of truth rows is one count, which every model has to reach.
+    """
     k = list(keys)
-    h = hyps.select(model_col, *k, F.lit(1).alias("__h"))
-    tt = truth.select(*k, F.lit(1).alias("__t"))
-    per_model = h.groupBy(model_col).agg(F.count("*").alias("n_hyp"))
-    matched = h.join(tt, k, "inner").groupBy(model_col).agg(F.count("*").alias("n_matched"))
-    return per_model.join(matched, model_col, "left").select(
-        model_col, (F.col("n_hyp") - F.coalesce(F.col("n_matched"), F.lit(0))).alias("n_extra"),
-        F.coalesce(F.col("n_matched"), F.lit(0)).alias("n_matched"))
+    h = hyps.select(model_col, *k)
+    joined = h.join(truth.select(*k, F.lit(True).alias("__t")), k, "left")
+    per_model = joined.groupBy(model_col).agg(F.count("__t").alias("n_matched"), F.count("*").alias("n_hyp"))
+    return per_model.select(model_col, "n_matched", (F.lit(truth.count()) - F.col("n_matched")).alias("n_missing"),
+                            (F.col("n_hyp") - F.col("n_matched")).alias("n_extra"))
+
+
+def require_aligned(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "sent_no", "word_no"),
+                    model_col: str = "model_id") -> None:
+    """A2, A5: raise unless every truth row has its hypothesis row and none is left over."""
+    bad = align_check(truth, hyps, keys, model_col).where("n_missing <> 0 OR n_extra <> 0").orderBy(model_col).limit(5).collect()
+    if bad:
+        raise ValueError(f"hypotheses and truth do not align: {[r.asDict() for r in bad]}")
 
 
 def align_sentences(truth: DataFrame, hyps: DataFrame, sent_keys=("part", "doc_id", "sent_no"),

@@ -21,9 +21,16 @@ def corpus_to_pairs(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional
 
 
 def hypotheses_to_scores(hyps: DataFrame, truth_pre: DataFrame, train_pre: DataFrame, script: str,
-                         sentence_mode: bool = True) -> DataFrame:
-    """F2: hypotheses -> predictions -> match flags -> score rows, all models at once."""
+                         sentence_mode: bool = True, strict: bool = True) -> DataFrame:
+    """F2: hypotheses -> predictions -> match flags -> score rows, all models at once.
+
+    With ``strict`` (default) a truth sentence or word without a hypothesis, or a
+    hypothesis without truth, fails the flow; otherwise it is left out.
+    """
     from lexspark.operators.segment import eos_flags
+    if strict:
+        keys = ("part", "doc_id", "sent_no", "word_no")[:3 if sentence_mode else 4]
+        align.require_aligned(truth_pre.select(*keys).distinct(), hyps, keys)
     if sentence_mode:
         pred = align.align_sentences(truth_pre, hyps)
     else:

@@ -220,6 +220,11 @@ LEFT JOIN pieces p ON p.model_id = h.model_id AND p.part = h.part AND p.doc_id =
   AND p.sent_no = h.sent_no AND p.idx = t.idx"""
 
 
+ORACLE["align_check"] = with_("preds") + """, truth AS (SELECT part, doc_id, sent_no, word_no FROM raw_tokens WHERE part IN ('dev', 'test'))
+SELECT model_id, count(t.word_no) AS n_matched, (SELECT count(*) FROM truth) - count(t.word_no) AS n_missing,
+  count(*) - count(t.word_no) AS n_extra
+FROM preds p LEFT JOIN truth t USING (part, doc_id, sent_no, word_no) GROUP BY model_id"""
+
 ORACLE["align_sentences"] = _align_sentences("clean")
 ORACLE["align_corpus"] = _align_sentences("raw_tokens")
 

@@ -199,6 +199,13 @@ def q_align_words(spark, d):
     return align.align_words(truth, fixtures.word_hypotheses(spark, d))
 
 
+@query("align_check")
+def q_align_check(spark, d):
+    # hypotheses of the cleaned words against the words before cleaning: some have none
+    truth = fixtures.tokens(spark, d).where(F.col("part").isin("dev", "test"))
+    return align.align_check(truth, fixtures.word_hypotheses(spark, d))
+
+
 @query("align_sentences")
 def q_align_sentences(spark, d):
     truth = corpus.clean_tokens(spark, d).where(F.col("part").isin("dev", "test"))

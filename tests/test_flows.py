@@ -1,9 +1,10 @@
 """End-to-end flows F1 and F2 on the smallest data set."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexspark.config import TransformConfig
-from lexspark.operators import context, sentences
+from lexspark.operators import align, clean, context, segment, sentences
 from lexspark.plans import corpus, flows
 from lexspark.sources import fixtures
 
@@ -13,8 +14,26 @@ def test_corpus_to_pairs_all_partitions(spark, sf_dir):
     pairs = flows.corpus_to_pairs(toks, TransformConfig(context_size=5))
     parts = {r.part for r in pairs.select("part").distinct().collect()}
     assert parts == {"training", "dev", "test"}
-    n_clean = corpus.clean_tokens(spark, sf_dir).count()
-    assert pairs.count() == n_clean
+    complete, rejected = clean.split_rejects(corpus.clean_tokens(spark, sf_dir))
+    assert rejected.count() > 0 and pairs.count() == complete.count()
+    text = context.as_text(pairs)
+    assert text.where("target IS NULL OR target LIKE '<w> +%' OR target LIKE '%+ </w>'").count() == 0
+
+
+def test_misaligned_hypotheses_fail(spark):
+    keys = "part string, doc_id bigint, sent_no int, word_no int"
+    truth = spark.createDataFrame([("dev", 1, 0, k, f"w{k}") for k in range(4)], keys + ", word string")
+    hyps = spark.createDataFrame([("dev", 1, 0, 0, 1, "a + b"), ("dev", 9, 0, 0, 1, "c + d")], keys + ", model_id int, line string")
+    row = align.align_check(truth, hyps).first()
+    assert (row.n_matched, row.n_missing, row.n_extra) == (1, 3, 1)
+    with pytest.raises(ValueError, match="do not align"):
+        align.require_aligned(truth, hyps)
+
+
+def test_blank_runs_go_on_across_files(spark):
+    rows = [(1, 0, "first"), (1, 1, "a"), (1, 2, " "), (2, 0, ""), (2, 1, "\t"), (2, 2, "b"), (3, 0, " "), (3, 1, "c")]
+    got = segment.collapse_blanks(spark.createDataFrame(rows, "doc_id bigint, line_no int, line string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "a"), (1, 2, ""), (2, 2, "b"), (3, 0, ""), (3, 1, "c")]
 
 
 def test_hypotheses_to_scores_matches_score_row(spark, sf_dir):

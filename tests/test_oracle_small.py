@@ -7,7 +7,8 @@ import __spark_entry__ as E
 
 TABLES = ["documents", "conversations"]
 NAMES = ["clean_tokens", "partition_stats", "baseline_scores", "score_slices", "align_sentences",
-         "word_context_chars", "word_context_span", "word_context_tags", "sentence_splits", "diff_accuracy"]
+         "word_context_chars", "word_context_span", "word_context_tags", "sentence_splits", "diff_accuracy",
+         "collapse_blanks", "pairs_rejects", "align_check", "length_filter", "encode_lines", "qa_counts"]
 
 
 def _norm(cols, data):
