@@ -63,6 +63,11 @@ def same_key(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def text_digest(text: str) -> Column:
+    """128 bits of the text's bytes, for telling apart rows that share an id; null of a null text."""
+    return F.md5(F.col(text).cast("string").cast("binary"))
+
+
 def without(docs: DataFrame, bad: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key`` is not among ``bad[key]`` (null is a key like any other)."""
     keys = bad.select(F.col(key).alias("__key")).distinct()

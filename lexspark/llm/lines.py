@@ -1,17 +1,18 @@
-"""Line dedup over content-defined chunks, in DataFrame functions only.
+"""Line dedup over pairs of neighbouring lines, in DataFrame functions only.
 
-A text is split into lines; a rolling hash over the hashes of the last two
-lines ends a chunk where it is divisible by ``DIVISOR``, so the cuts inside a
-shared passage do not depend on what stands before it.  Chunks of two lines or
-more that occur in several places of the corpus (same document included) are
-removed everywhere but at their first place (smallest doc_id, then smallest
-chunk number); equality is decided on the bytes, the chunk hash only brings
-candidates together.  What is left of a text keeps its order.
+A text is split into lines.  A run of two lines or more that stands at an
+earlier place of the corpus too (same document included) is removed whole,
+wherever it begins and ends: every two neighbouring lines are a candidate, and
+the pairs of a longer run overlap.  The first place of a pair (smallest doc_id,
+then smallest digest of the text, then smallest line number) stays, and so does
+a pair that overlaps its own first place.  Equality is decided on the bytes, the
+pair's hash only brings candidates together.  What is left of a text keeps its
+order; every removed line still stands at an earlier place.
 
-Null texts stay null and empty texts empty.  Rows with equal doc_id are one
-document: its chunks count once, and what is removed from it is removed from
-each of its rows (null is a doc_id like any other and comes first).  Other
-columns are kept, whatever their names.
+Null texts stay null and empty texts empty.  A row is known by its doc_id and
+its text: rows that share an id (null is one like any other and comes first) but
+not the text are different documents, rows that share both are one, whose lines
+count once.  Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,48 +20,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import same_key, saved
+from lexspark.llm.common import same_key, saved, text_digest
 
-DIVISOR = 3
+DIVISOR = 3  # of the SQL below, which still cuts chunks
 
 # Each transform(array(x), v -> ...)[0] names an intermediate value, so that it is computed once a text.
-_CHUNKS = """transform(array(split({text}, '\\n', -1)), ls ->
-    transform(array(transform(ls, l -> cast(conv(substring(md5(cast(l AS binary)), 1, 8), 16, 10) AS bigint))), hs ->
-    transform(array(filter(sequence(1, size(ls)), i -> i = size(ls) OR (hs[i - 1] + 31 * coalesce(get(hs, i - 2), 0L)) % {divisor} = 0)), es ->
-    transform(es, (e, k) -> named_struct('no', k, 'n', e - coalesce(get(es, k - 1), 0),
-        'chunk', array_join(slice(ls, coalesce(get(es, k - 1), 0) + 1, e - coalesce(get(es, k - 1), 0)), '\\n')))
-    )[0])[0])[0]"""
+_PAIRS = """transform(array(transform(split({text}, '\\n', -1), l -> xxhash64(l))), hs ->
+    transform(sequence(0, size(hs) - 2), i -> named_struct('no', i, 'h', xxhash64(hs[i], hs[i + 1]))))[0]"""
+_LINES = """transform(array(split({text}, '\\n', -1)), ls -> transform(pairs, p ->
+    named_struct('no', p.no, 'h', p.h, 'is_first', p.is_first, 'lines', concat(ls[p.no], '\\n', ls[p.no + 1]))))[0]"""
+_LEFT = """transform(array(split({text}, '\\n', -1)), ls -> transform(array(
+    array_except(sequence(0, size(ls) - 1), array_union(__gone, transform(__gone, i -> i + 1)))), left ->
+    named_struct('text', array_join(transform(left, i -> ls[i]), '\\n'), 'n', size(ls) - size(left)))[0])[0]"""
 
 
-def chunks(text: str, divisor: int = DIVISOR) -> Column:
-    """array<struct<no, n, chunk>> of the column named ``text``: number, lines and text of each chunk."""
-    return F.expr(_CHUNKS.format(text=f"`{text}`", divisor=divisor))
+def pairs(text: str) -> Column:
+    """array<struct<no, h>> of the column named ``text``, which has two lines or more: first line's number (from 0) and hash of each pair."""
+    return F.expr(_PAIRS.format(text=f"`{text}`"))
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """(doc, no): places of multi-line chunks that are not the first of their text."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.inline(chunks(text, divisor)))
-    rows = rows.where("n > 1").select(F.xxhash64("chunk").alias("h"), F.octet_length("chunk").alias("size"), "doc", "no", "chunk")
-    rows = saved(rows, "chunks")
-    place = F.struct("doc", "no")
-    groups = rows.groupBy("h", "size").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <=> last = false")
-    groups = saved(groups.drop("last"), "repeated-chunks")  # two plain shuffles meet below: a frequent chunk splits
-    shared = saved(rows.join(groups, ["h", "size"]), "shared-chunks")
-    firsts = saved(shared.where(place == F.col("first")).select("h", "size", F.col("chunk").alias("first_chunk")).distinct(), "first-chunks")
-    # A second text under one hash and size keeps all its places: nothing is removed on a hash alone.
-    return shared.where(place != F.col("first")).join(firsts, ["h", "size"]).where("chunk = first_chunk").select("doc", "no").distinct()
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, digest, no): pairs of the lines ``no`` and ``no + 1`` that stand at an earlier place too."""
+    texts = docs.where(F.instr(text, "\n") > 0).select(F.col(key).alias("doc"), text_digest(text).alias("digest"), F.col(text).alias("text"))
+    rows = saved(texts.select("doc", "digest", F.inline(pairs("text"))), "line-pairs")
+    place = F.struct("doc", "digest", "no")
+    groups = rows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <=> last = false")
+    groups = saved(groups.drop("last"), "repeated-pairs")  # two plain shuffles meet below: a frequent pair splits
+    overlaps = same_key(place, F.struct("first.doc", "first.digest", (F.col("first.no") + 1).alias("no")))
+    shared = rows.join(groups, "h").where(~overlaps).select("doc", "digest", F.struct("no", "h", same_key(place, F.col("first")).alias("is_first")).alias("pair"))
+    wanted = saved(shared.groupBy("doc", "digest").agg(F.collect_set("pair").alias("pairs")), "shared-pairs")
+    wanted = wanted.withColumnsRenamed({"doc": "__doc", "digest": "__digest"})
+    found = texts.join(wanted, same_key(texts["doc"], wanted["__doc"]) & (texts["digest"] == wanted["__digest"]))
+    found = saved(found.select("doc", "digest", F.inline(F.expr(_LINES.format(text="text")))), "shared-lines")
+    firsts = saved(found.where("is_first").select("h", F.col("lines").alias("first_lines")).distinct(), "first-lines")
+    # A second text under one hash keeps all its places: nothing is removed on a hash alone.
+    return found.where("NOT is_first").join(firsts, "h").where("lines = first_lines").select("doc", "digest", "no")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the shortened ``text`` and two more columns: n_lines and n_removed (lines)."""
-    gone = repeated(docs, key, text, divisor).groupBy("doc").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("doc", "__doc")
-    rows = docs.join(gone, same_key(docs[key], gone["__doc"]), "left").drop("__doc")
-    parts = F.when(F.col("__gone").isNotNull() & F.col(text).isNotNull(), chunks(text, divisor))
-    # One chunk list a text: the kept text and the number of lines removed come from the same value.
-    kept = F.transform(F.array(parts), lambda c: F.struct(
-        F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col("__gone"), x["no"])), lambda x: x["chunk"]), "\n").alias("text"),
-        F.aggregate(F.filter(c, lambda x: F.array_contains(F.col("__gone"), x["no"])), F.lit(0), lambda a, x: a + x["n"]).alias("n")))[0]
-    rows = rows.withColumn("__kept", F.when(F.col("__gone").isNotNull() & F.col(text).isNotNull(), kept))
+    gone = repeated(docs, key, text).groupBy("doc", "digest").agg(F.collect_set("no").alias("__gone"))
+    gone = gone.withColumnsRenamed({"doc": "__doc", "digest": "__of"})
+    rows = docs.withColumn("__digest", text_digest(text))
+    rows = rows.join(gone, same_key(rows[key], gone["__doc"]) & (rows["__digest"] == gone["__of"]), "left").drop("__doc", "__of", "__digest")
+    # One list of lines a text: the kept text and the number of lines removed come from the same value.
+    rows = rows.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.expr(_LEFT.format(text=f"`{text}`"))))
     rows = rows.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).cast("bigint"))
     rows = rows.withColumn("n_removed", F.coalesce(F.col("__kept.n"), F.lit(0)).cast("bigint"))
     return rows.withColumn(text, F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.col("__kept.text"))).drop("__gone", "__kept")

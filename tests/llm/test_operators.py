@@ -238,6 +238,24 @@ def test_lines(spark, none):
     assert dedup(df).count() == len(rows) and dedup(none).count() == 0
 
 
+def test_lines_whole_passages(spark):
+    from lexspark.llm.lines import dedup
+    passages = [[f"passage {n} line {k}" for k in range(n)] for n in range(2, 9)]
+    rows = [(0, "\n".join(x for p in passages for x in p + [f"between {p[0]}"]))]
+    for n, p in enumerate(passages):
+        for before in range(7):
+            i = 1 + 7 * n + before
+            rows.append((i, "\n".join([f"own {i} {k}" for k in range(before)] + p + [f"end {i}"])))
+    rows += [(200, "a\na\na"), (201, "b\nb\nb\nb"), (202, "c\nd\nc\nd")]
+    got = by_id(dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)))
+    assert got[0]["n_removed"] == 0 and got[0]["text"] == rows[0][1]
+    for n, p in enumerate(passages):
+        for before in range(7):
+            i = 1 + 7 * n + before
+            assert got[i]["text"] == "\n".join([f"own {i} {k}" for k in range(before)] + [f"end {i}"]) and got[i]["n_removed"] == len(p)
+    assert [got[i]["text"] for i in (200, 201, 202)] == ["a\na\na", "b\nb", "c\nd"]
+
+
 def test_scorers(spark, sf_dir, docs, none):
     from lexspark.llm import quality, toxicity
     from lexspark.llm.common import table
