@@ -269,6 +269,36 @@ def test_scorers(spark, sf_dir, docs, none):
     assert quality.score(docs, quality.fit(docs)).count() == docs.count() and quality.fit(none) is None
 
 
+def test_toxicity_counts_by_word(spark):
+    """Every word has its own counts and weight, whatever part of them the tasks hold."""
+    from lexspark.llm import toxicity
+    r = random.Random(17)
+    words = [f"w{k}" for k in range(6_000)]
+    texts = [" ".join(r.choices(words, k=60)) for _ in range(600)] + ["", None, "w1", "w1 w2 w3 never"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id bigint, toxic int")
+    seen = {}
+    for i, t in enumerate(texts[:600]):
+        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            for left, word in zip([None] + t.split(), t.split()):
+                seen.setdefault(word, (set(), set()))[i % 2].add(left)
+    got = toxicity.contexts(docs, labels).collect()
+    assert sorted((r["ordinary"], r["toxic"]) for r in got) == sorted((len(o), len(t)) for o, t in seen.values())
+    n_o, n_t = (sum(len(x[k]) for x in seen.values()) for k in (0, 1))
+    left_o, left_t = (sum(min(len(x[k]), 2) for x in seen.values()) for k in (0, 1))
+    weight = {w: np.log((max(len(t) - 2, 0) / n_t + left_t / n_t * (len(o) + len(t)) / (n_o + n_t)) / (max(len(o) - 2, 0) / n_o + left_o / n_o * (len(o) + len(t)) / (n_o + n_t)))
+              for w, (o, t) in seen.items()}
+    other = np.log(left_t / n_t / (left_o / n_o))
+    expected = {}
+    for i, t in enumerate(texts):
+        x = [weight.get(w, other) for w in (t or "").split()]
+        expected[i] = max([sum(x[k:k + 4]) for k in range(max(1, len(x) - 3))]) / 4
+    model = toxicity.fit(docs, labels)
+    for head in (toxicity.HEAD, 100, 0):
+        raw = {r["doc_id"]: r["raw"] for r in toxicity.evidence(docs, model, head=head).collect()}
+        assert raw.keys() == expected.keys() and all(abs(raw[i] - expected[i]) < 1e-5 for i in raw)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from lexspark.llm.common import table
