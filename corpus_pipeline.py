@@ -11,8 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions.ranking import global_row_number
 from lexspark.llm import bpe, decontaminate, lines, minhash, quality
-from lexspark.llm.common import saved, table, without
+from lexspark.llm.common import row_key, saved, table, without
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,13 +34,22 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of every group of near-duplicates; rows that share an id are one document."""
-    return without(docs, minhash.near_duplicates(docs, size=5, percent=80).where("NOT kept"))
+    """The smallest document of every group of near-duplicates; a document is a row's id and text.
+
+    Rows are numbered in the order of their keys, since near-dedup takes integers.
+    """
+    rows = docs.withColumn("__row", row_key(docs))
+    numbers = saved(global_row_number(rows.select("__row").distinct(), ["__row"], "__no"), "numbers")
+    rows = saved(rows.join(numbers, "__row"), "numbered")
+    bad = minhash.near_duplicates(rows, key="__no", size=5, percent=80).where("NOT kept")
+    return without(rows, bad, "__no").select(docs.columns)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-    return without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents that hold no benchmark passage; a document is a row's id and text."""
+    rows = docs.withColumn("__row", row_key(docs))
+    found = decontaminate.contamination(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, found.where("contaminated").withColumnRenamed("doc_id", "__row"), "__row").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,12 @@ def text_digest(text: str) -> Column:
     return F.md5(F.col(text).cast("string").cast("binary"))
 
 
+def row_key(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Column:
+    """A string that names a row by its integer id and its text: in the order of the ids (null last), then of the text digests."""
+    number = F.lpad(F.hex(F.col(key).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat_ws(":", F.coalesce(number, F.lit("~")), F.coalesce(text_digest(text), F.lit("")))
+
+
 def without(docs: DataFrame, bad: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key`` is not among ``bad[key]`` (null is a key like any other)."""
     keys = bad.select(F.col(key).alias("__key")).distinct()

@@ -269,6 +269,29 @@ def test_scorers(spark, sf_dir, docs, none):
     assert quality.score(docs, quality.fit(docs)).count() == docs.count() and quality.fit(none) is None
 
 
+def test_rows_that_share_an_id(spark, tmp_path):
+    """Different texts under one id, or under null, are different documents in every stage."""
+    import corpus_pipeline
+    from lexspark.llm.lines import dedup
+    own = [prose(50 + k, 60).replace("\n", " ") for k in range(6)]
+    leak = prose(90, 30).replace("\n", " ")
+    rows = []
+    for i in (7, None):
+        k = 0 if i else 3
+        rows += [(i, own[k] + " " + leak), (i, own[k + 1]), (i, own[k + 2])]
+    rows += [(3, own[1] + " more")]  # near (7, own[1])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda df: {(r["doc_id"], r["text"]) for r in df.collect()}
+    assert texts(corpus_pipeline.not_in_benchmark(spark, docs, str(tmp_path))) == {(i, t) for i, t in rows if leak not in t}
+    assert texts(corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path))) == set(rows) - {(7, own[1])}
+    passage = "one shared line\nand another\n"
+    lined = [(1, passage + "x")] + [(i, t) for i in (7, None) for t in (f"a {i}\nb {i}\nc {i}", passage + f"own {i}", passage + f"other {i}")]
+    got = texts(dedup(spark.createDataFrame(lined, "doc_id bigint, text string")))
+    assert {(7, "a 7\nb 7\nc 7"), (None, "a None\nb None\nc None"), (7, "own 7"), (7, "other 7"), (1, "x")} <= got
+    assert sum(t.startswith(passage) for _, t in got) == 1 and len(got) == len(lined)
+
+
 def test_toxicity_counts_by_word(spark):
     """Every word has its own counts and weight, whatever part of them the tasks hold."""
     from lexspark.llm import toxicity
