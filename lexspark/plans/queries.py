@@ -339,7 +339,7 @@ def q_collapse_blanks(spark, d):
 
 from lexspark.operators import bpe  # noqa: E402
 
-BPE_MERGES = 20
+BPE_MERGES = TransformConfig().bpe_operations
 
 
 def _codes(spark, d):
