@@ -37,23 +37,41 @@ def parse_hypotheses(lines: DataFrame, line_col: str = "line", tag_boundary: str
     return lines.withColumn("lemma", lemma).withColumn("tag", tag).drop(line_col)
 
 
-def split_sentence_line(lines: DataFrame, keys, line_col: str = "line", word_boundary: str = WORD_BOUNDARY) -> DataFrame:
-    """Pieces of a sentence-mode line at the word boundary: (*keys, idx, piece)."""
-    pat = "\\Q" + word_boundary + "\\E"
-    return lines.select(*keys, F.posexplode(F.split(F.col(line_col), pat, -1)).alias("idx", "piece"))
+def with_models(truth: DataFrame, pred: DataFrame, model_col: str = "model_id") -> DataFrame:
+    """Every truth row once per model of ``pred``: the left side of an alignment that loses nothing.
+
+    The models are a number of runs, whatever the corpus holds: one row carries their list.
+    """
+    models = pred.agg(F.collect_set(model_col).alias("__models")).withColumn("__one", F.lit(1))
+    rows = truth.withColumn("__one", F.lit(1)).join(F.broadcast(models), "__one")
+    return rows.select(F.explode("__models").alias(model_col), *truth.columns)
 
 
 def align_words(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "sent_no", "word_no"),
                 model_col: str = "model_id") -> DataFrame:
     """A2: truth row <-> hypothesis row of the same example key.
 
-    Returns truth words with parsed (lemma, tag).  ``align_check`` counts what
-    has no partner; ``require_aligned`` fails on any.
+    Returns a row for every model and truth word with the parsed (lemma, tag), null
+    where no hypothesis came; of several for one key the smallest line counts.
+    ``surplus_words`` lists what has no truth row, ``align_check`` counts both,
+    ``require_aligned`` fails on any.
     """
     k = list(keys)
-    parsed = parse_hypotheses(hyps)
-    t = truth.select(*k, "word")
-    return parsed.join(t, k, "inner").select(model_col, *k, "word", "lemma", "tag")
+    parsed = parse_hypotheses(hyps.groupBy(model_col, *k).agg(F.min("line").alias("line")))
+    return with_models(truth.select(*k, "word"), hyps, model_col).join(parsed, [model_col, *k], "left") \
+        .select(model_col, *k, "word", "lemma", "tag")
+
+
+def surplus_words(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "sent_no", "word_no"),
+                  model_col: str = "model_id") -> DataFrame:
+    """A2: what ``align_words`` leaves over: (model, *keys, reason, n hypotheses), reason ``no truth`` or ``repeated``."""
+    k = list(keys)
+    t = truth.select(*k).distinct().withColumn("__t", F.lit(True))
+    h = hyps.groupBy(model_col, *k).agg(F.count("*").alias("n")).join(t, k, "left")
+    lost = F.col("__t").isNull()
+    return h.where(lost | (F.col("n") > 1)).select(
+        model_col, *k, F.when(lost, "no truth").otherwise("repeated").alias("reason"),
+        F.when(lost, F.col("n")).otherwise(F.col("n") - 1).alias("n"))
 
 
 def align_check(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "sent_no", "word_no"),
@@ -61,14 +79,16 @@ def align_check(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "sent
     """A2 check: per model, examples without hypothesis and hypotheses without example.
 
     (model, n_matched, n_missing, n_extra): one pass over the joined keys; the
-    number of truth rows is one count, which every model has to reach.
+    number of truth rows is a one-row aggregate of the same plan.
     """
     k = list(keys)
     h = hyps.select(model_col, *k)
     joined = h.join(truth.select(*k, F.lit(True).alias("__t")), k, "left")
     per_model = joined.groupBy(model_col).agg(F.count("__t").alias("n_matched"), F.count("*").alias("n_hyp"))
-    return per_model.select(model_col, "n_matched", (F.lit(truth.count()) - F.col("n_matched")).alias("n_missing"),
-                            (F.col("n_hyp") - F.col("n_matched")).alias("n_extra"))
+    size = truth.agg(F.count("*").alias("__n")).withColumn("__one", F.lit(1))
+    return per_model.withColumn("__one", F.lit(1)).join(F.broadcast(size), "__one").select(
+        model_col, "n_matched", (F.col("__n") - F.col("n_matched")).alias("n_missing"),
+        (F.col("n_hyp") - F.col("n_matched")).alias("n_extra"))
 
 
 def require_aligned(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "sent_no", "word_no"),
@@ -79,35 +99,63 @@ def require_aligned(truth: DataFrame, hyps: DataFrame, keys=("part", "doc_id", "
         raise ValueError(f"hypotheses and truth do not align: {[r.asDict() for r in bad]}")
 
 
+def _sentence_lines(truth: DataFrame, hyps: DataFrame, sent_keys, model_col: str, word_boundary: str, how: str) -> DataFrame:
+    """(model, *sentence, __ws: truth words in order, __ps: pieces of the line, __n lines)."""
+    sk = list(sent_keys)
+    t = truth.groupBy(*sk).agg(F.sort_array(F.collect_list(F.struct("word_no", "word"))).alias("__ws"))
+    line = hyps.groupBy(model_col, *sk).agg(F.min("line").alias("line"), F.count("*").alias("__n"))
+    pat = "\\Q" + word_boundary + "\\E"
+    line = line.select(model_col, *sk, "__n", F.split("line", pat, -1).alias("__ps"))
+    if how == "truth":
+        return with_models(t, hyps, model_col).join(line, [model_col, *sk], "left")
+    return line.join(t, sk, "left")
+
+
 def align_sentences(truth: DataFrame, hyps: DataFrame, sent_keys=("part", "doc_id", "sent_no"),
                     model_col: str = "model_id", word_boundary: str = WORD_BOUNDARY) -> DataFrame:
-    """A3: split hypotheses at the word boundary; i-th piece <-> i-th truth word.
+    """A3, A4: split hypotheses at the word boundary; i-th piece <-> i-th truth word.
 
-    Surplus predicted words are cut, missing ones give null lemma and tag.
-    The truth carries ``word_no``; its ordinal within the sentence is the key.
+    Returns a row for every model and truth word: missing pieces and sentences
+    without a hypothesis give null lemma and tag.  Surplus pieces, lines without
+    a truth sentence and repeated lines are listed by ``surplus_sentences``.
     """
-    from pyspark.sql import Window
     sk = list(sent_keys)
-    w = Window.partitionBy(*sk).orderBy("word_no")
-    t = truth.select(*sk, "word_no", "word").withColumn("idx", F.row_number().over(w) - 1)
-    pieces = split_sentence_line(hyps, [model_col, *sk], "line", word_boundary)
+    both = _sentence_lines(truth, hyps, sk, model_col, word_boundary, "truth")
+    words = both.select(model_col, *sk, "__ps", F.posexplode("__ws").alias("idx", "x"))
+    words = words.select(model_col, *sk, F.col("x.word_no").alias("word_no"), F.col("x.word").alias("word"), F.get("__ps", "idx").alias("piece"))
     lemma, tag = parse_line(F.col("piece"))
-    pieces = pieces.select(model_col, *sk, "idx", lemma.alias("lemma"), tag.alias("tag"))
-    models = hyps.select(model_col, *sk)
-    # every (model, sentence) that has a hypothesis line gets all truth words
-    base = models.join(t, sk, "inner")
-    out = base.join(pieces, [model_col, *sk, "idx"], "left")
-    return out.select(model_col, *sk, "word_no", "word", "lemma", "tag")
+    return words.select(model_col, *sk, "word_no", "word", lemma.alias("lemma"), tag.alias("tag"))
+
+
+def surplus_sentences(truth: DataFrame, hyps: DataFrame, sent_keys=("part", "doc_id", "sent_no"),
+                      model_col: str = "model_id", word_boundary: str = WORD_BOUNDARY) -> DataFrame:
+    """A3, A4: what ``align_sentences`` leaves over: (model, *sentence, reason, n).
+
+    Reasons: ``no truth`` (n lines of a sentence that the truth lacks), ``repeated`` (n
+    further lines of a sentence), ``beyond the sentence`` (n pieces after its last word).
+    """
+    sk = list(sent_keys)
+    both = _sentence_lines(truth, hyps, sk, model_col, word_boundary, "hypotheses")
+    lost = F.col("__ws").isNull()
+    beyond = F.size("__ps") - F.size("__ws")
+    found = F.array(F.when(lost, F.struct(F.lit("no truth").alias("reason"), F.col("__n").alias("n"))),
+                    F.when(~lost & (F.col("__n") > 1), F.struct(F.lit("repeated").alias("reason"), (F.col("__n") - 1).alias("n"))),
+                    F.when(~lost & (beyond > 0), F.struct(F.lit("beyond the sentence").alias("reason"), beyond.cast("bigint").alias("n"))))
+    return both.select(model_col, *sk, F.inline(F.filter(found, lambda f: f.isNotNull())))
 
 
-def match_table(pred: DataFrame, truth: DataFrame, keys=("part", "doc_id", "sent_no", "word_no")) -> DataFrame:
-    """A5: prediction joined with truth by position, ``_prediction`` / ``_truth`` suffixes."""
+def match_table(pred: DataFrame, truth: DataFrame, keys=("part", "doc_id", "sent_no", "word_no"), model_col: str = "model_id") -> DataFrame:
+    """A5: truth joined with the predictions by position, ``_prediction`` / ``_truth`` suffixes.
+
+    A row for every model and truth row; predicted columns are null where none came.
+    """
     k = list(keys)
     p = pred.select(*[c for c in pred.columns if c not in ("word", "lemma", "tag")],
                     *[F.col(c).alias(f"{c}_prediction") for c in ("word", "lemma", "tag")])
     t = truth.select(*k, *[F.col(c).alias(f"{c}_truth") for c in ("word", "lemma", "tag")],
                      *([F.col("eos")] if "eos" in truth.columns else []))
-    return p.join(t, k, "inner")
+    order = [*p.columns, *[c for c in t.columns if c not in p.columns]]
+    return with_models(t, pred, model_col).join(p, [model_col, *k], "left").select(order)
 
 
 def match_flags(match: DataFrame, train_pre: DataFrame, truth_pre: DataFrame,

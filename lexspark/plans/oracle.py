@@ -201,8 +201,9 @@ parsed AS (SELECT model_id, part, doc_id, sent_no, word_no, {_L} AS lemma, {_T}
 ORACLE["parse_hypotheses"] = with_("preds") + _WH + \
     "SELECT model_id, part, doc_id, sent_no, word_no, lemma, tag FROM parsed"
 
-ORACLE["align_words"] = with_("preds") + _WH + """SELECT p.model_id, p.part, p.doc_id, p.sent_no, p.word_no,
-  c.word, p.lemma, p.tag FROM parsed p JOIN clean c USING (part, doc_id, sent_no, word_no)"""
+ORACLE["align_words"] = with_("preds") + _WH + """SELECT m.model_id, c.part, c.doc_id, c.sent_no, c.word_no, c.word, p.lemma, p.tag
+FROM raw_tokens c CROSS JOIN (SELECT DISTINCT model_id FROM preds) m LEFT JOIN parsed p USING (model_id, part, doc_id, sent_no, word_no)
+WHERE c.part IN ('dev', 'test')"""
 
 
 def _align_sentences(truth_cte):
@@ -214,10 +215,10 @@ pieces0 AS (SELECT model_id, part, doc_id, sent_no, unnest(string_split(line, '<
                    CAST(unnest(range(len(string_split(line, '<s>')))) AS INTEGER) AS idx FROM hyps),
 pieces1 AS (SELECT model_id, part, doc_id, sent_no, idx, regexp_replace(piece, '{_MARKUP}', '', 'g') AS x FROM pieces0),
 pieces AS (SELECT model_id, part, doc_id, sent_no, idx, {_L} AS lemma, {_T} AS tag FROM pieces1)
-SELECT h.model_id, h.part, h.doc_id, h.sent_no, t.word_no, t.word, p.lemma, p.tag
-FROM hyps h JOIN truth t ON h.part = t.part AND h.doc_id = t.doc_id AND h.sent_no = t.sent_no
-LEFT JOIN pieces p ON p.model_id = h.model_id AND p.part = h.part AND p.doc_id = h.doc_id
-  AND p.sent_no = h.sent_no AND p.idx = t.idx"""
+SELECT m.model_id, t.part, t.doc_id, t.sent_no, t.word_no, t.word, p.lemma, p.tag
+FROM truth t CROSS JOIN (SELECT DISTINCT model_id FROM hyps) m
+LEFT JOIN pieces p ON p.model_id = m.model_id AND p.part = t.part AND p.doc_id = t.doc_id
+  AND p.sent_no = t.sent_no AND p.idx = t.idx"""
 
 
 ORACLE["align_check"] = with_("preds") + """, truth AS (SELECT part, doc_id, sent_no, word_no FROM raw_tokens WHERE part IN ('dev', 'test'))
@@ -228,6 +229,57 @@ FROM preds p LEFT JOIN truth t USING (part, doc_id, sent_no, word_no) GROUP BY m
 ORACLE["align_sentences"] = _align_sentences("clean")
 ORACLE["align_corpus"] = _align_sentences("raw_tokens")
 
+ORACLE["align_surplus"] = with_("hyps") + f""", truth AS (
+  SELECT part, doc_id, sent_no, count(*) AS k FROM clean WHERE part IN ('dev', 'test') AND {eval_pred()} GROUP BY ALL),
+h AS (SELECT model_id, part, doc_id, sent_no, len(string_split(line, '<s>')) AS pieces FROM hyps)
+SELECT model_id, part, doc_id, sent_no, CASE WHEN k IS NULL THEN 'no truth' ELSE 'beyond the sentence' END AS reason,
+  CASE WHEN k IS NULL THEN 1 ELSE pieces - k END AS n
+FROM h LEFT JOIN truth USING (part, doc_id, sent_no) WHERE k IS NULL OR pieces > k"""
+
+# Line diff: the alignment table of every sentence, a row of it per step of the recursion.  ``common`` and ``hunk`` are the
+# costs (edits * 10^6 + hunks) of the best alignments that end with a common line or with a changed one; cells lie in a band as wide
+# as the lines that differ by position, which no best alignment leaves.  The common start of both sentences is skipped.
+ORACLE["line_diff"] = with_("hyps", "truth_eos").replace("WITH ", "WITH RECURSIVE ", 1) + f""", p AS (SELECT model_id, part, doc_id, sent_no, list({{'lemma': lemma, 'tag': tag}} ORDER BY i) AS ys FROM (
+  SELECT h.model_id, h.part, h.doc_id, h.sent_no, h.i, {_L} AS lemma, {_T} AS tag FROM (
+    SELECT model_id, part, doc_id, sent_no, i, regexp_replace(ls[i], '{_MARKUP}', '', 'g') AS x FROM (
+      SELECT *, string_split(line, '<s>') AS ls, unnest(range(1, len(string_split(line, '<s>')) + 1)) AS i FROM hyps)) h)
+  GROUP BY ALL),
+t AS (SELECT part, doc_id, sent_no, list({{'lemma': lemma, 'tag': tag}} ORDER BY word_no) AS xs FROM truth_eos GROUP BY ALL),
+every AS (SELECT part, count(*) AS blank FROM (SELECT DISTINCT part, doc_id, sent_no FROM raw_tokens) GROUP BY part),
+lines AS (SELECT part, blank + coalesce((SELECT sum(len(xs)) FROM t WHERE t.part = every.part), 0) AS n_lines FROM every),
+pair AS (SELECT row_number() OVER () AS id, model_id, part, coalesce(xs, []) AS xs, ys FROM p LEFT JOIN t USING (part, doc_id, sent_no)),
+seq AS (SELECT id * 3 + k AS id, model_id, part, k,
+  list_transform(xs, lambda r: CASE k WHEN 0 THEN r.lemma WHEN 1 THEN r.tag ELSE r.lemma || chr(10) || r.tag END) AS x,
+  list_transform(ys, lambda r: CASE k WHEN 0 THEN r.lemma WHEN 1 THEN r.tag ELSE r.lemma || chr(10) || r.tag END) AS y
+  FROM pair, (SELECT unnest([0, 1, 2]) AS k)),
+d AS (SELECT *, len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] IS DISTINCT FROM y[i])) AS differ,
+  coalesce(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] IS DISTINCT FROM y[i])[1], least(len(x), len(y)) + 1) - 1 AS skip FROM seq),
+w AS (SELECT id, model_id, part, k, x[skip + 1:] AS x, y[skip + 1:] AS y, len(x) - skip AS n, len(y) - skip AS m,
+  differ + abs(len(x) - len(y)) AS band FROM d),
+ti AS (SELECT id, unnest(range(1, n + 1)) AS i, unnest(x) AS v FROM w WHERE n > 0 AND m > 0),
+tj AS (SELECT id, unnest(range(1, m + 1)) AS j, unnest(y) AS v FROM w WHERE n > 0 AND m > 0),
+r AS (
+  SELECT id, 0 AS i, j, n, m, band, CASE WHEN j = 0 THEN 0 ELSE 1000000000000000 END AS common,
+    CASE WHEN j = 0 THEN 1000000000000000 ELSE j * 1000000 + 1 END AS hunk
+  FROM (SELECT id, n, m, band, unnest(range(0, least(m, band) + 1)) AS j FROM w WHERE n > 0 AND m > 0)
+  UNION ALL
+  SELECT id, i, j, n, m, band, common, least(gone, coalesce(min(least(gone, common + 1) - j * 1000000) OVER (
+      PARTITION BY id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + j * 1000000, 1000000000000000)) AS hunk
+  FROM (SELECT c.id, c.i, c.j, c.n, c.m, c.band, c.gone, CASE WHEN ti.v = tj.v THEN c.met ELSE 1000000000000000 END AS common
+        FROM (SELECT id, i + 1 AS i, j + s AS j, n, m, band, min(CASE WHEN s = 1 THEN least(common, hunk) ELSE 1000000000000000 END) AS met,
+                min(CASE WHEN s = 0 THEN least(hunk, common + 1) + 1000000 ELSE 1000000000000000 END) AS gone
+              FROM r, (SELECT unnest([0, 1]) AS s) WHERE i < n AND j + s <= m AND abs(j + s - i - 1) <= band GROUP BY 1, 2, 3, 4, 5, 6) c
+        JOIN ti ON ti.id = c.id AND ti.i = c.i LEFT JOIN tj ON tj.id = c.id AND tj.j = c.j)),
+h AS (SELECT id, least(common, hunk) % 1000000 AS hunks FROM r WHERE i = n AND j = m
+  UNION ALL SELECT id, 1 FROM w WHERE (n = 0) <> (m = 0)),
+s AS (SELECT model_id, part, k, coalesce(sum(hunks), 0) AS hunks FROM w LEFT JOIN h USING (id) GROUP BY ALL)
+SELECT model_id, part, CAST(any_value(n_lines) AS BIGINT) AS n_lines,
+  CAST(sum(hunks) FILTER (WHERE k = 0) AS BIGINT) AS lemma_hunks, CAST(sum(hunks) FILTER (WHERE k = 1) AS BIGINT) AS tag_hunks,
+  CAST(sum(hunks) FILTER (WHERE k = 2) AS BIGINT) AS joint_hunks,
+  1 - sum(hunks) FILTER (WHERE k = 0) / any_value(n_lines) AS lemma_acc, 1 - sum(hunks) FILTER (WHERE k = 1) / any_value(n_lines) AS tag_acc,
+  1 - sum(hunks) FILTER (WHERE k = 2) / any_value(n_lines) AS joint_acc
+FROM s JOIN lines USING (part) GROUP BY model_id, part"""
+
 ORACLE["diff_accuracy"] = with_("match") + """, whole AS (
   SELECT *, coalesce(lemma_prediction = lemma_truth, false) AS lemma_match,
          coalesce(tag_prediction = tag_truth, false) AS tag_match,

@@ -141,10 +141,11 @@ CTE["truth_eos"] = """truth_eos AS (
   WHERE word IS NOT NULL AND lemma IS NOT NULL AND tag IS NOT NULL)"""
 
 CTE["match"] = """match0 AS (
-  SELECT p.model_id, p.part, p.doc_id, p.sent_no, p.word_no,
+  SELECT mm.model_id, t.part, t.doc_id, t.sent_no, t.word_no,
          p.word AS word_prediction, p.lemma AS lemma_prediction, p.tag AS tag_prediction,
          t.word AS word_truth, t.lemma AS lemma_truth, t.tag AS tag_truth, t.eos
-  FROM preds p JOIN truth_eos t USING (part, doc_id, sent_no, word_no)),
+  FROM truth_eos t CROSS JOIN (SELECT DISTINCT model_id FROM preds) mm
+  LEFT JOIN preds p USING (model_id, part, doc_id, sent_no, word_no)),
 train_words AS (SELECT DISTINCT word FROM clean WHERE part = 'training' AND word IS NOT NULL),
 train_tags AS (SELECT DISTINCT tag FROM clean WHERE part = 'training' AND tag IS NOT NULL),
 amb_truth AS (SELECT part, word FROM clean WHERE part IN ('dev', 'test') GROUP BY part, word

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexspark.operators import align, baseline, clean, profile, score, segment
+from lexspark.operators import align, baseline, clean, linediff, profile, score, segment
 from lexspark.plans import corpus
 from lexspark.sources import fixtures
+from lexspark.sources.store import materialized
 
 QUERIES = {}
 
@@ -195,7 +196,8 @@ def q_parse_hypotheses(spark, d):
 
 @query("align_words")
 def q_align_words(spark, d):
-    truth = corpus.clean_tokens(spark, d).where(F.col("part").isin("dev", "test"))
+    # the truth is the corpus before cleaning: words that cleaning dropped have no hypothesis
+    truth = fixtures.tokens(spark, d).where(F.col("part").isin("dev", "test"))
     return align.align_words(truth, fixtures.word_hypotheses(spark, d))
 
 
@@ -219,6 +221,25 @@ def q_align_corpus(spark, d):
     return align.align_sentences(truth, fixtures.hypotheses(spark, d))
 
 
+@query("align_surplus")
+def q_align_surplus(spark, d):
+    # the truth holds evaluated words only: some sentences are gone, most are shorter than their lines
+    truth = corpus.all_tokens(spark, d).where(F.col("part").isin("dev", "test"))
+    return align.surplus_sentences(truth, fixtures.hypotheses(spark, d))
+
+
+@query("line_diff")
+def q_line_diff(spark, d):
+    # the lines of sentence-mode hypotheses as they are: some words are missing, some are surplus
+    hyps = fixtures.hypotheses(spark, d)
+    lemma, tag = align.parse_line(F.col("piece"))
+    pieces = hyps.select("model_id", "part", "doc_id", "sent_no", F.posexplode(F.split("line", "<s>", -1)).alias("word_no", "piece"))
+    pred = pieces.select("model_id", "part", "doc_id", "sent_no", "word_no", lemma.alias("lemma"), tag.alias("tag"))
+    truth = corpus.truth_with_eos(spark, d)
+    every = fixtures.tokens(spark, d).where(F.col("part").isin("dev", "test"))
+    return linediff.line_diff(truth, pred, sentences=every)
+
+
 @query("diff_accuracy")
 def q_diff_accuracy(spark, d):
     # whole files are compared: no evaluation filter
@@ -343,8 +364,11 @@ BPE_MERGES = TransformConfig().bpe_operations
 
 
 def _codes(spark, d):
-    train = corpus.clean_tokens(spark, d).where(F.col("part") == "training")
-    return bpe.learn(bpe.type_counts(train), BPE_MERGES)
+    # learnt once per input and session; the three queries share the table
+    def learnt():
+        train = corpus.clean_tokens(spark, d).where(F.col("part") == "training")
+        return bpe.learn(bpe.type_counts(train), BPE_MERGES)
+    return materialized(spark, "bpe_codes", d, learnt)
 
 
 @query("bpe_learn")
