@@ -6,6 +6,8 @@ neighbour sentences included when ``context_span > 0``.  A word's left and
 right context are then bounded ``slice``/``filter`` expressions on that
 array: linear in sentence length times the budget, with no per-word rebuild
 of the sentence.  Offsets come from running sums (a window per sentence).
+Sentences of more than ``BLOCK`` words are laid out in blocks, each with the
+words of its neighbours that a context can reach, so no sentence is one row.
 
 Context rule: walking away from the focus word take the first k units
 (unit budget) or all units whose cumulative length is <= N (character
@@ -27,6 +29,7 @@ from lexspark.functions.arrays import units_of
 from lexspark.operators.clean import drop_incomplete
 
 SENT = ("part", "doc_id", "sent_no")
+BLOCK = 4096  # words of a sentence that are laid out in one row
 
 
 def with_units(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[DataFrame] = None) -> DataFrame:
@@ -44,18 +47,48 @@ def with_units(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[Data
     return t.withColumn("tu", units_of(F.col("tag"), cfg.tag_unit))
 
 
-def sentence_units(tokens_u: DataFrame, sent=SENT) -> DataFrame:
-    """One row per sentence: sorted words with offsets and the flat unit array ``U``.
+def budget_of(cfg: TransformConfig) -> Optional[int]:
+    """Units (and so words) that a context can reach to one side; None: the whole sentence."""
+    if cfg.context_char_size is not None:
+        return max(cfg.context_char_size, 0)
+    return None if cfg.context_size is None or cfg.context_size < 0 else cfg.context_size
+
+
+def sentence_units(tokens_u: DataFrame, sent=SENT, budget: Optional[int] = None, block: int = BLOCK) -> DataFrame:
+    """One row per sentence and block: sorted words with offsets and the flat unit array ``U``.
+
+    A sentence is cut into blocks of ``block`` words, the last one of up to twice as many.  Every block also holds the
+    words of its neighbours that a context can reach (``own`` is false there): a word
+    has at least one unit and one character, so ``budget`` words to either side are
+    enough.  Sentences of up to ``block`` words are one block, number 0; without a
+    budget contexts span the sentence and so does its block.
 
     ``u0`` / ``c0`` (units / characters before the word) are running sums
     over the sentence; the following aggregation reuses its partitioning.
     """
     s = list(sent)
-    w = Window.partitionBy(*s).orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
-    t = tokens_u.withColumn("u0", F.coalesce(F.sum(F.size("cu")).over(w), F.lit(0)).cast("int")) \
-        .withColumn("c0", F.coalesce(F.sum(F.length("word")).over(w), F.lit(0)).cast("int"))
-    g = t.groupBy(*s).agg(F.sort_array(F.collect_list(F.struct(
-        "word_no", "word", "lemma", "tag", "cu", "tu", "u0", "c0"))).alias("ws"))
+    w = Window.partitionBy(*s).orderBy("word_no")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    t = tokens_u.withColumn("u0", F.coalesce(F.sum(F.size("cu")).over(before), F.lit(0)).cast("int")) \
+        .withColumn("c0", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)).cast("int"))
+    if budget is None:
+        t = t.withColumn("slot", F.lit(0)).withColumn("own", F.lit(True))
+    else:
+        size = max(block, 2 * budget, 1)
+        t = t.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*s)))
+        last = F.greatest(F.floor(F.col("__n") / size) - 1, F.lit(0)).cast("int")  # what is left over belongs to the last block
+        b = F.least(F.floor(F.col("__i") / size).cast("int"), last)
+        at = F.col("__i") - b * size
+        place = lambda slot, own: F.struct(slot.alias("slot"), F.lit(own).alias("own"))
+        places = F.when(last == 0, F.array(place(b, True))).otherwise(F.filter(F.array(
+            place(b, True), F.when((b < last) & (at >= size - budget), place(b + 1, False)),
+            F.when((b > 0) & (at < budget), place(b - 1, False))), lambda x: x.isNotNull()))
+        t = t.select(*[c for c in t.columns if c not in ("__i", "__n")], F.inline(places))
+    g = t.groupBy(*s, "slot").agg(F.sort_array(F.collect_list(F.struct(
+        "word_no", "word", "lemma", "tag", "cu", "tu", "u0", "c0", "own"))).alias("ws"))
+    # offsets count from the first word of the block
+    first = F.col("ws")[0]
+    g = g.withColumn("ws", F.transform("ws", lambda x: x.withField("u0", x["u0"] - first["u0"]).withField("c0", x["c0"] - first["c0"])))
 
     def unit_structs(x, i):
         # character offset of unit j inside the word = total length of the units before it
@@ -65,42 +98,57 @@ def sentence_units(tokens_u: DataFrame, sent=SENT) -> DataFrame:
             (x["c0"] + F.aggregate(F.slice(x["cu"], 1, j + 1), F.lit(0), lambda a, y: a + F.length(y))).alias("c1")))
 
     ws = F.col("ws")
-    return g.select(*s, ws, F.flatten(F.transform(ws, unit_structs)).alias("U"),
+    return g.select(*s, "slot", ws, F.flatten(F.transform(ws, unit_structs)).alias("U"),
                     F.transform(ws, lambda x: x["tu"]).alias("T"),
                     F.size(ws).alias("nw"),
                     F.aggregate(ws, F.lit(0), lambda a, x: a + F.length(x["word"])).alias("nc"))
 
 
-def _with_neighbours(sents: DataFrame, span: int, exclude_last_right: bool, sent=SENT) -> DataFrame:
-    """Attach ``pieces``: the sentence and up to ``span`` neighbours either side, in text order.
+LAST = -1  # key of a sentence's last block among the keys that neighbours are sent to
 
-    Each sentence is sent to the keys of the sentences it serves as context
-    for; one aggregation keyed by sentence gathers them, so even a single
-    huge document spreads over all tasks.
+
+def _with_neighbours(sents: DataFrame, span: int, exclude_last_right: bool, sent=SENT, budget: Optional[int] = None) -> DataFrame:
+    """Attach ``pieces``: the block and, at the sentence's ends, up to ``span`` neighbours either side, in text order.
+
+    Each sentence sends the units that a context can reach, its first ones or its
+    last, to the keys of the sentences it serves; one aggregation keyed by
+    sentence and block gathers them, so even a single huge document spreads over
+    all tasks.  Left neighbours belong to block 0 and right ones to the last
+    block, which is keyed ``LAST``; whether that is also the first is only known
+    where they meet, so left neighbours go to both.
     """
     s = list(sent)
-    piece = F.struct(F.col("d"), "U", "T", "nw", "nc")
     if span <= 0:
-        return sents.withColumn("d", F.lit(0)).select(*s, "ws", F.array(piece).alias("pieces"))
-    src = sents
+        piece = F.struct(F.lit(0).alias("d"), "U", "T", "nw", "nc")
+        return sents.select(*s, "slot", "ws", F.array(piece).alias("pieces"))
+    src = sents.withColumn("__end", F.max("slot").over(Window.partitionBy(*s)))
     if exclude_last_right:
         last = sents.groupBy("part", "doc_id").agg(F.max("sent_no").alias("__last"))
-        src = sents.join(last, ["part", "doc_id"], "left")
-    ds = F.array(*[F.lit(d) for d in range(-span, span + 1)])
-    # sentence at sent_no serves the one at sent_no - d as neighbour d
-    sent_to = src.select(*s, "ws", "U", "T", "nw", "nc",
-                         *([F.col("__last")] if exclude_last_right else []), F.explode(ds).alias("d"))
+        src = src.join(last, ["part", "doc_id"], "left")
+    is_last = F.col("slot") == F.col("__end")
+    serves_left = F.col("slot") == 0  # as a right neighbour of earlier sentences
     if exclude_last_right:
-        sent_to = sent_to.where(~((F.col("d") > 0) & (F.col("sent_no") == F.col("__last"))))
-    sent_to = sent_to.withColumn("sent_no", (F.col("sent_no") - F.col("d")).cast("int"))
-    g = sent_to.groupBy(*s).agg(
-        F.sort_array(F.collect_list(piece)).alias("pieces"),
-        F.max(F.when(F.col("d") == 0, F.col("ws"))).alias("ws"))
-    return g.where(F.col("ws").isNotNull())
+        serves_left = serves_left & (F.col("sent_no") != F.col("__last"))
+    to = lambda d, key: F.struct(F.lit(d).alias("d"), key.cast("int").alias("key"))
+    targets = [to(0, F.when(is_last, F.lit(LAST)).otherwise(F.col("slot")))]
+    for d in range(1, span + 1):
+        targets += [F.when(is_last, to(-d, F.lit(0))), F.when(is_last, to(-d, F.lit(LAST))), F.when(serves_left, to(d, F.lit(LAST)))]
+    # sentence at sent_no serves the one at sent_no - d as neighbour d
+    sent_to = src.select(*s, "slot", "ws", "U", "T", "nw", "nc", F.inline(F.filter(F.array(*targets), lambda x: x.isNotNull())))
+    d, U = F.col("d"), F.col("U")
+    if budget is not None:  # what no context can reach stays at home
+        near = F.when(d > 0, F.slice(U, 1, F.lit(budget))).when(d < 0, F.slice(U, F.greatest(F.size(U) - budget + 1, F.lit(1)), F.lit(budget))).otherwise(U)
+        sent_to = sent_to.withColumn("U", near)
+    own = d == 0
+    g = sent_to.select(*s[:-1], (F.col("sent_no") - d).cast("int").alias("sent_no"), "key", F.struct("d", "U", "T", "nw", "nc").alias("piece"),
+                       F.when(own, F.struct("slot", "ws")).alias("own")).groupBy(*s, "key").agg(
+        F.sort_array(F.collect_list("piece")).alias("pieces"), F.first("own", ignorenulls=True).alias("own")).where(F.col("own").isNotNull())
+    pieces = F.filter("pieces", lambda p: (p["d"] >= 0) | (F.col("own.slot") == 0))
+    return g.select(*s, F.col("own.slot").alias("slot"), F.col("own.ws").alias("ws"), pieces.alias("pieces"))
 
 
 def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[DataFrame] = None,
-                   sent=SENT, as_arrays: bool = True) -> DataFrame:
+                   sent=SENT, as_arrays: bool = True, block: int = BLOCK) -> DataFrame:
     """(sent keys, word_no, source, target), arrays of symbols (or text with ``as_arrays=False``).
 
     ``tokens``: cleaned tokens with ``word, lemma, tag`` and sentence keys.
@@ -116,8 +164,10 @@ def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[
     """
     cfg.validate()
     s = list(sent)
-    sents = sentence_units(with_units(drop_incomplete(tokens), cfg, bpe_units), sent)
-    g = _with_neighbours(sents, cfg.context_span, cfg.exclude_last_right, sent)
+    sents = sentence_units(with_units(drop_incomplete(tokens), cfg, bpe_units), sent, budget_of(cfg), block)
+    if cfg.context_tags != "left":
+        sents = sents.withColumn("T", F.array().cast("array<array<string>>"))
+    g = _with_neighbours(sents, cfg.context_span, cfg.exclude_last_right, sent, budget_of(cfg))
 
     # combine the pieces into one sequence; own words start after the left pieces
     pieces = F.col("pieces")
@@ -141,7 +191,7 @@ def build_examples(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[
         (a["nw"] + p["nw"]).alias("nw"), (a["nc"] + p["nc"]).alias("nc")))
     a0 = F.aggregate(left, F.struct(F.lit(0).alias("u"), F.lit(0).alias("c")),
                      lambda a, p: F.struct((a["u"] + F.size(p["U"])).alias("u"), (a["c"] + p["nc"]).alias("c")))
-    x = g.select(*s, "ws", comb.alias("cb"), a0.alias("off"))
+    x = g.select(*s, F.filter("ws", lambda w: w["own"]).alias("ws"), comb.alias("cb"), a0.alias("off"))
 
     wb, tb = cfg.word_boundary, cfg.tag_boundary
     U, T = F.col("cb")["U"], F.col("cb")["T"]

@@ -46,3 +46,40 @@ def test_span_left_context_crosses_sentences(golden):
 def test_word_bpe_rejected(golden):
     with pytest.raises(ValueError):
         build_examples(golden, TransformConfig(word_unit="bpe"))
+
+
+def _sentences(spark, lengths, seed=3):
+    import random
+    r = random.Random(seed)
+    words = ["a", "bb", "ccc", "dddd", "x", "ñandú", "𝔘𝔘"]
+    rows = [("dev", 1, s, k, r.choice(words), r.choice(words), r.choice(["N", "Vp"])) for s, n in enumerate(lengths) for k in range(n)]
+    return spark.createDataFrame(rows, "part string, doc_id bigint, sent_no int, word_no int, word string, lemma string, tag string")
+
+
+@pytest.mark.parametrize("over", [
+    dict(context_size=3), dict(context_size=0), dict(context_char_size=4, n=2), dict(context_unit="word", context_size=2, context_tags="left"),
+    dict(context_size=3, context_span=1), dict(context_char_size=5, n=3, context_span=2, context_tags="left"),
+    dict(context_size=4, context_span=2, exclude_last_right=True), dict(context_size=None)])
+def test_blocks_do_not_change_examples(spark, over):
+    """Sentences around the block length, with neighbours, against sentences laid out whole."""
+    from lexspark.config import TransformConfig
+    from lexspark.operators.context import build_examples
+    cfg = TransformConfig(**over)
+    tokens = _sentences(spark, [1, 8, 9, 0, 30, 2, 16, 17, 7, 40, 3]).repartition(3)
+    whole = build_examples(tokens, cfg, as_arrays=False).collect()
+    assert len(whole) == 133
+    assert sorted(build_examples(tokens, cfg, as_arrays=False, block=8).collect()) == sorted(whole)
+
+
+def test_a_long_sentence_spreads_over_rows(spark):
+    from pyspark.sql import functions as F
+    from lexspark.config import TransformConfig
+    from lexspark.operators.context import build_examples, sentence_units, with_units
+    long = spark.range(0, 120_000, 1, 4).select(F.lit("dev").alias("part"), F.lit(1).alias("doc_id"), F.lit(0).alias("sent_no"), F.col("id").cast("int").alias("word_no"),
+                                              F.concat(F.lit("w"), F.col("id") % 97).alias("word"), F.lit("l").alias("lemma"), F.lit("N").alias("tag"))
+    cfg = TransformConfig(context_unit="word", context_size=3)
+    sizes = [r[0] for r in sentence_units(with_units(long, cfg), budget=3).select(F.size("ws")).collect()]
+    assert len(sizes) == 29 and max(sizes) < 2 * 4096 + 6
+    got = build_examples(long, cfg, as_arrays=False)
+    assert got.count() == 120_000
+    assert got.where("word_no = 4096").first().source == "<w> w19 <s> w20 <s> w21 <lc> w 2 2 <rc> w23 <s> w24 <s> w25 </w>"
