@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.common import same_key, saved, text_digest
 
-DIVISOR = 3  # of the SQL below, which still cuts chunks
-
 # Each transform(array(x), v -> ...)[0] names an intermediate value, so that it is computed once a text.
 _PAIRS = """transform(array(transform(split({text}, '\\n', -1), l -> xxhash64(l))), hs ->
     transform(sequence(0, size(hs) - 2), i -> named_struct('no', i, 'h', xxhash64(hs[i], hs[i + 1]))))[0]"""
@@ -70,16 +68,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.withColumn(text, F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.col("__kept.text"))).drop("__gone", "__kept")
 
 
-ORACLE = f"""
+# The same rule: a pair of neighbouring lines goes where it stands at an earlier place, unless it overlaps that place.
+ORACLE = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, ls, list_transform(ls, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS hs FROM l),
-e AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR (hs[i] + 31 * CASE WHEN i > 1 THEN hs[i - 1] ELSE 0 END) % {DIVISOR} = 0) AS es FROM h),
-c AS (SELECT doc_id, unnest(range(1, len(es) + 1)) AS no, ls, es FROM e),
-t AS (SELECT doc_id, no, es[no] - CASE WHEN no > 1 THEN es[no - 1] ELSE 0 END AS n,
-             array_to_string(ls[CASE WHEN no > 1 THEN es[no - 1] ELSE 0 END + 1 : es[no]], chr(10)) AS chunk FROM c),
-r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, no) > 1 AS gone FROM t),
-k AS (SELECT doc_id, sum(n) AS n_lines, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed,
-             coalesce(string_agg(CASE WHEN NOT gone THEN chunk END, chr(10) ORDER BY no), '') AS kept FROM r GROUP BY doc_id)
+p AS (SELECT doc_id, no, ls[no] || chr(10) || ls[no + 1] AS pair FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS no FROM l)),
+f AS (SELECT doc_id, no, first_value(doc_id) OVER w AS first_doc, first_value(no) OVER w AS first_no FROM p WINDOW w AS (PARTITION BY pair ORDER BY doc_id, no)),
+g AS (SELECT DISTINCT doc_id, unnest([no, no + 1]) AS no FROM f WHERE NOT (doc_id = first_doc AND no - first_no IN (0, 1))),
+n AS (SELECT doc_id, len(ls) AS n_lines, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM l),
+k AS (SELECT n.doc_id, any_value(n_lines) AS n_lines, count(g.no) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY n.no) FILTER (WHERE g.no IS NULL), '') AS kept
+      FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.no = g.no GROUP BY n.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CASE WHEN d.text IS NOT NULL THEN sha256(kept) END AS kept_sha256
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
