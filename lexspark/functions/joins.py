@@ -6,7 +6,8 @@ side (counted with map-side combining; a bounded top-K, broadcast) are
 marked; their rows get a salt from a hash of the row and their lookup rows
 (at most K) are copied once per salt, other keys use salt 0.  One shuffle
 join on (key, salt) follows, so a hot key spreads over ``salts`` tasks and
-no other key holds more than 1/K of the rows.  The salt is deterministic (a
+no other key holds more than 1/K of the rows.  Null keys, which match nothing,
+are spread like hot ones.  The salt is deterministic (a
 hash, no random numbers), so a recomputed task sends every row to the same
 place.  AQE (see ``lexspark.session``) still applies to the join.
 """
@@ -41,7 +42,8 @@ def skew_join(big: DataFrame, small: DataFrame, keys, how: str = "left", hot_col
     hv = (hot if hot is not None else top_keys(big, hc)).withColumn("__hot", F.lit(True))
     hb = F.broadcast(hv)  # at most HOT_KEYS rows
     b = big.join(hb, F.col(hc) == F.col("__hv"), "left").drop("__hv")
-    b = b.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]),
+    spread = F.coalesce(F.col("__hot"), F.lit(False)) | F.col(hc).isNull()  # a null key matches nothing: any place will do
+    b = b.withColumn("__salt", F.when(spread, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]),
                                                             F.lit(salts))).otherwise(F.lit(0)).cast("int"))
     sm = small.join(hb, F.col(hc) == F.col("__hv"), "left").drop("__hv")
     sm = sm.withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))

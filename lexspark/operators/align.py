@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.config import TAG_BOUNDARY, WORD_BOUNDARY
-from lexspark.functions.joins import flag_member, skew_join, top_keys
+from lexspark.functions.joins import top_keys
 from lexspark.operators.clean import eval_predicate
+from lexspark.operators.typetable import TRAIN, among, is_seen, looked_up, stored, type_table
 from lexspark.functions.patterns import CYRILLIC_START, EXCLUDED_TAGS
 
 # Fixed value: one-character markup tags (<s>, </w>, ...) and all white space are removed.
@@ -175,26 +176,17 @@ def match_flags(match: DataFrame, train_pre: DataFrame, truth_pre: DataFrame,
     m = m.withColumn("lemma_match", eq("lemma_prediction", "lemma_truth")) \
         .withColumn("tag_match", eq("tag_prediction", "tag_truth")) \
         .withColumn("joint_match", F.col("lemma_match") & F.col("tag_match"))
-    # hot words and tags counted once on the input of the lookup chain
-    hot_w, hot_t = top_keys(match, "word_truth"), top_keys(match, "tag_truth")
-    m = flag_member(m, "word_truth", train_pre, "word", "seen_word", hot=hot_w)
-    # ambiguity: words with > 1 distinct lemma in the truth part, or in training
-    amb_t = truth_pre.groupBy(part_col, "word").agg(F.count_distinct("lemma").alias("k")).where("k > 1") \
-        .select(F.col(part_col).alias("__p1"), F.col("word").alias("__aw"), F.lit(True).alias("__amb_t"))
-    amb_tr = train_pre.groupBy("word").agg(F.count_distinct("lemma").alias("k")).where("k > 1") \
-        .select(F.col("word").alias("__aw2"), F.lit(True).alias("__amb_tr"))
-    m = skew_join(m.withColumn("__p1", F.col(part_col)).withColumn("__aw", F.col("word_prediction")),
-                  amb_t, ["__p1", "__aw"], "left", hot=hot_w)
-    m = skew_join(m.withColumn("__aw2", F.col("word_prediction")), amb_tr, ["__aw2"], "left", hot=hot_w)
-    m = m.withColumn("ambiguous", F.coalesce(F.col("__amb_t"), F.lit(False)) | F.coalesce(F.col("__amb_tr"), F.lit(False))) \
-        .drop("__p1", "__aw", "__amb_t", "__aw2", "__amb_tr")
-    m = flag_member(m, "tag_truth", train_pre, "tag", "seen_tag", hot=hot_t)
-    # existent: predicted tag among training tags or the truth part's tags
-    tags_t = truth_pre.where(F.col("tag").isNotNull()) \
-        .select(F.col(part_col).alias("__p2"), F.col("tag").alias("__et")).distinct() \
-        .withColumn("__ex_t", F.lit(True))
-    m = skew_join(m.withColumn("__p2", F.col(part_col)).withColumn("__et", F.col("tag_prediction")),
-                  tags_t, ["__p2", "__et"], "left", hot=hot_t).drop("__p2", "__et")
-    m = flag_member(m, "tag_prediction", train_pre, "tag", "__ex_tr", hot=hot_t)
-    return m.withColumn("existent_tag", F.coalesce(F.col("__ex_t"), F.lit(False)) | F.col("__ex_tr")) \
-        .drop("__ex_t", "__ex_tr")
+    both = train_pre.select(F.lit(TRAIN).alias("part"), "word", "lemma", "tag").unionByName(
+        truth_pre.select(F.col(part_col).alias("part"), "word", "lemma", "tag"))
+    words = stored(type_table(both.where(F.col("word").isNotNull()), "word", "lemma"))
+    tags = stored(type_table(both.where(F.col("tag").isNotNull()), "tag"))
+    hot_w, hot_t = stored(top_keys(match, "word_truth")), stored(top_keys(match, "tag_truth"))  # 1,000 rows at most
+    part = F.col(part_col)
+    m = looked_up(m, "word_truth", words, "__wt", hot_w).withColumn("seen_word", is_seen("__wt")).drop("__wt")
+    # ambiguous: the predicted word has more than one lemma in the truth's part, or in training
+    m = looked_up(m, "word_prediction", words, "__wp", hot_w).withColumn(
+        "ambiguous", among("__wp", "ambiguous", part) | among("__wp", "ambiguous", F.lit(TRAIN))).drop("__wp")
+    m = looked_up(m, "tag_truth", tags, "__tt", hot_t).withColumn("seen_tag", is_seen("__tt")).drop("__tt")
+    # existent: the predicted tag is among the tags of training or of the truth's part
+    return looked_up(m, "tag_prediction", tags, "__tp", hot_t).withColumn(
+        "existent_tag", is_seen("__tp") | among("__tp", "parts", part)).drop("__tp")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.joins import skew_join, top_keys
-from lexspark.operators.profile import ambiguous_words, unseen_type_table
+from lexspark.operators.typetable import among, is_seen, looked_up, stored, type_table
 
 
 def _most_frequent(train: DataFrame, label: str) -> DataFrame:
@@ -42,20 +42,17 @@ SCOPES = ("pre_all_tokens", "all_tokens", "unseen_word_tokens", "unseen_lemma_to
 
 
 def scope_flags(flagged: DataFrame, train: str = "training", hot: Optional[DataFrame] = None) -> DataFrame:
-    """Add the scope flags of B3 to cleaned tokens carrying ``is_eval``."""
+    """Add the scope flags of B3 to cleaned tokens carrying ``is_eval``: one dictionary lookup per column."""
     ev = flagged.where("is_eval")
-    unseen = unseen_type_table(ev, train)
     out = flagged
+    other = F.col("is_eval") & (F.col("part") != train)
     for c in ("word", "lemma", "tag"):
-        u = unseen.where(F.col("column") == c).select(
-            F.col("part").alias("__p"), F.col("value").alias("__u"), F.lit(True).alias("__hit"))
-        out = out.join(u, (F.col("part") == F.col("__p")) & F.col(c).eqNullSafe(F.col("__u")), "left")
-        out = out.withColumn(f"unseen_{c}", F.col("is_eval") & F.coalesce(F.col("__hit"), F.lit(False))) \
-            .drop("__p", "__u", "__hit")
-    amb = ambiguous_words(ev).select(F.col("part").alias("__p"), F.col("word").alias("__aw"), F.lit(True).alias("__amb"))
-    out = skew_join(out.withColumn("__p", F.col("part")).withColumn("__aw", F.col("word")), amb, ["__p", "__aw"], "left", hot=hot)
-    return out.withColumn("ambiguous", F.col("is_eval") & F.coalesce(F.col("__amb"), F.lit(False))) \
-        .drop("__p", "__aw", "__amb")
+        table = stored(type_table(ev, c, "lemma" if c == "word" else None, train))
+        out = looked_up(out, c, table, "__entry", hot if c == "word" else None).withColumn(f"unseen_{c}", other & ~is_seen("__entry"))
+        if c == "word":
+            out = out.withColumn("ambiguous", F.col("is_eval") & F.col("word").isNotNull() & among("__entry", "ambiguous", F.col("part")))
+        out = out.drop("__entry")
+    return out
 
 
 def scores(flagged: DataFrame, model: DataFrame, unknown_tag: Optional[str] = None,
@@ -65,7 +62,7 @@ def scores(flagged: DataFrame, model: DataFrame, unknown_tag: Optional[str] = No
     Accuracy is the share of right predictions (1.0 when there is no error;
     the reference fails there).  Empty scopes produce no row.
     """
-    hot = top_keys(flagged, "word")  # counted once, shared by both lookups
+    hot = stored(top_keys(flagged, "word"))  # counted once, shared by both lookups
     f = scope_flags(flagged, train, hot).where(F.col("part").isin(*parts))
     p = predict(f, model, unknown_tag, hot)
     ok_l = F.coalesce(F.col("pred_lemma") == F.col("lemma"), F.lit(False))

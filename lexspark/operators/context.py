@@ -54,6 +54,26 @@ def budget_of(cfg: TransformConfig) -> Optional[int]:
     return None if cfg.context_size is None or cfg.context_size < 0 else cfg.context_size
 
 
+def blocks(t: DataFrame, w, sent, budget: Optional[int], block: int) -> DataFrame:
+    """Words with the block ``slot`` that they are laid out in; ``own`` is false where a word only serves as context.
+
+    ``w``: window of a sentence in the order of its words.  The last block also
+    holds what is left over, so every block but the only one has ``2 * budget`` words or more.
+    """
+    if budget is None:
+        return t.withColumn("slot", F.lit(0)).withColumn("own", F.lit(True))
+    size = max(block, 2 * budget, 1)
+    t = t.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*sent)))
+    last = F.greatest(F.floor(F.col("__n") / size) - 1, F.lit(0)).cast("int")  # what is left over belongs to the last block
+    b = F.least(F.floor(F.col("__i") / size).cast("int"), last)
+    at = F.col("__i") - b * size
+    place = lambda slot, own: F.struct(slot.alias("slot"), F.lit(own).alias("own"))
+    places = F.when(last == 0, F.array(place(b, True))).otherwise(F.filter(F.array(
+        place(b, True), F.when((b < last) & (at >= size - budget), place(b + 1, False)),
+        F.when((b > 0) & (at < budget), place(b - 1, False))), lambda x: x.isNotNull()))
+    return t.select(*[c for c in t.columns if c not in ("__i", "__n")], F.inline(places))
+
+
 def sentence_units(tokens_u: DataFrame, sent=SENT, budget: Optional[int] = None, block: int = BLOCK) -> DataFrame:
     """One row per sentence and block: sorted words with offsets and the flat unit array ``U``.
 
@@ -71,19 +91,7 @@ def sentence_units(tokens_u: DataFrame, sent=SENT, budget: Optional[int] = None,
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     t = tokens_u.withColumn("u0", F.coalesce(F.sum(F.size("cu")).over(before), F.lit(0)).cast("int")) \
         .withColumn("c0", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)).cast("int"))
-    if budget is None:
-        t = t.withColumn("slot", F.lit(0)).withColumn("own", F.lit(True))
-    else:
-        size = max(block, 2 * budget, 1)
-        t = t.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*s)))
-        last = F.greatest(F.floor(F.col("__n") / size) - 1, F.lit(0)).cast("int")  # what is left over belongs to the last block
-        b = F.least(F.floor(F.col("__i") / size).cast("int"), last)
-        at = F.col("__i") - b * size
-        place = lambda slot, own: F.struct(slot.alias("slot"), F.lit(own).alias("own"))
-        places = F.when(last == 0, F.array(place(b, True))).otherwise(F.filter(F.array(
-            place(b, True), F.when((b < last) & (at >= size - budget), place(b + 1, False)),
-            F.when((b > 0) & (at < budget), place(b - 1, False))), lambda x: x.isNotNull()))
-        t = t.select(*[c for c in t.columns if c not in ("__i", "__n")], F.inline(places))
+    t = blocks(t, w, s, budget, block)
     g = t.groupBy(*s, "slot").agg(F.sort_array(F.collect_list(F.struct(
         "word_no", "word", "lemma", "tag", "cu", "tu", "u0", "c0", "own"))).alias("ws"))
     # offsets count from the first word of the block

@@ -48,27 +48,30 @@ def _long_types(df: DataFrame) -> DataFrame:
     ).select("part", "t.column", "t.value")
 
 
+def _unseen(all_tokens: DataFrame, train: str) -> DataFrame:
+    """(part, column, value, n tokens) of the non-training parts' types that training lacks.
+
+    Counts per type and part, then one row per type that lists its parts: both
+    steps combine before the shuffle and no token is joined.
+    """
+    per_part = _long_types(all_tokens).groupBy("column", "value", "part").agg(F.count("*").alias("n"))
+    per_type = per_part.groupBy("column", "value").agg(F.bool_or(F.col("part") == train).alias("seen"), F.collect_list(F.struct("part", "n")).alias("of"))
+    return per_type.where("NOT seen").select("column", "value", F.inline("of")).select("part", "column", "value", "n")
+
+
 def unseen_type_table(all_tokens: DataFrame, train: str = "training") -> DataFrame:
     """Distinct (part, column, value) of the non-training parts not seen in training."""
-    lt = _long_types(all_tokens).distinct()
-    tr = lt.where(F.col("part") == train).select("column", F.col("value").alias("tv"))
-    other = lt.where(F.col("part") != train)
-    cond = (other["column"] == tr["column"]) & other["value"].eqNullSafe(tr["tv"])
-    return other.join(tr, cond, "left_anti")
+    return _unseen(all_tokens, train).select("part", "column", "value")
 
 
 def unseen_types(all_tokens: DataFrame, train: str = "training") -> DataFrame:
     """Number of types per column unseen in training, per non-training part."""
-    return unseen_type_table(all_tokens, train).groupBy("part", "column").agg(F.count("*").alias("n_types"))
+    return _unseen(all_tokens, train).groupBy("part", "column").agg(F.count("*").alias("n_types"))
 
 
 def unseen_tokens(all_tokens: DataFrame, train: str = "training") -> DataFrame:
     """P5: number of tokens whose word / lemma / tag type is unseen in training."""
-    lt = _long_types(all_tokens)
-    tr = lt.where(F.col("part") == train).select("column", F.col("value").alias("tv")).distinct()
-    other = lt.where(F.col("part") != train)
-    cond = (other["column"] == tr["column"]) & other["value"].eqNullSafe(tr["tv"])
-    return other.join(tr, cond, "left_anti").groupBy("part", "column").agg(F.count("*").alias("n_tokens"))
+    return _unseen(all_tokens, train).groupBy("part", "column").agg(F.sum("n").alias("n_tokens"))
 
 
 def _share_multi(df: DataFrame, key: str, others) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.config import TransformConfig
-from lexspark.operators import align, clean, context, score, sentences
+from lexspark.operators import align, clean, context, score, sentences, sizes
 
 
 def corpus_to_pairs(tokens: DataFrame, cfg: TransformConfig, bpe_units: Optional[DataFrame] = None,
@@ -42,11 +42,18 @@ def hypotheses_to_scores(hyps: DataFrame, truth_pre: DataFrame, train_pre: DataF
 def config_grid(tokens_clean: DataFrame, configs: Iterable[TransformConfig], folder: str = "corpus") -> DataFrame:
     """F3 + S11: per configuration, its output name and pair statistics.
 
-    The cleaned token table is shared by all configurations (cache it, or
-    read it from a written table, when running many).
+    Configurations whose contexts stay in a sentence are measured together, in one
+    pass over the tokens (``operators.sizes``); others are built one by one.
     """
+    configs = list(configs)
+    together = [c for c in configs if sizes.measurable(c)]
     out = None
+    if together:
+        names = F.element_at(F.array(*[F.lit(c.config_id(folder)) for c in together]), F.col("config") + 1)
+        out = sizes.pair_sizes(tokens_clean, together).select(names.alias("config_id"), "n_pairs", "n_source_symbols", "n_target_symbols", "max_source")
     for cfg in configs:
+        if sizes.measurable(cfg):
+            continue
         p = corpus_to_pairs(tokens_clean, cfg, already_clean=True)
         st = p.agg(F.count("*").alias("n_pairs"),
                    F.sum(F.size("source")).cast("bigint").alias("n_source_symbols"),
