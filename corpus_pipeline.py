@@ -36,9 +36,10 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of every group of near-duplicates; a document is a row's id and text.
 
-    Rows are numbered in the order of their keys, since near-dedup takes integers.
+    Of rows that are equal in both one stays.  Rows are numbered in the order of
+    their keys, since near-dedup takes integers.
     """
-    rows = docs.withColumn("__row", row_key(docs))
+    rows = docs.withColumn("__row", row_key(docs)).dropDuplicates(["__row"])
     numbers = saved(global_row_number(rows.select("__row").distinct(), ["__row"], "__no"), "numbers")
     rows = saved(rows.join(numbers, "__row"), "numbered")
     bad = minhash.near_duplicates(rows, key="__no", size=5, percent=80).where("NOT kept")
