@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from lexspark.operators.segment import char_ngrams, chars
 
-def empty() -> Column:
-    return F.array().cast("array<string>")
-
 
 def lit_array(*xs: str) -> Column:
     return F.array(*[F.lit(x) for x in xs])

@@ -91,7 +91,14 @@ def split_rejects(df: DataFrame):
     return df.filter(~bad), df.filter(bad)
 
 
-def qa_counts(df: DataFrame, group=("part",), long_symbols: int = 50, symbols_col: str = None) -> DataFrame:
+def long_examples(pairs: DataFrame, symbols: int = 50, group=("part",)) -> DataFrame:
+    """Per group the examples whose source or target has more than ``symbols`` symbols, and the longest ones."""
+    over = lambda c: F.count_if(F.size(c) > symbols).alias(f"n_long_{c}")
+    return pairs.groupBy(*group).agg(F.count("*").alias("n_examples"), over("source"), over("target"),
+                                     F.max(F.size("source")).alias("longest_source"), F.max(F.size("target")).alias("longest_target"))
+
+
+def qa_counts(df: DataFrame, group=("part",)) -> DataFrame:
     """Alphabetic tokens; lemmas with > 1 form; words with > 1 reading (a missing lemma or tag is none)."""
     g = list(group)
     alpha = df.groupBy(*g).agg(

@@ -415,3 +415,52 @@ ORACLE["collapse_blanks"] = with_("line_stream") + """SELECT doc_id, line_no, CA
 FROM (SELECT doc_id, line_no, line, trim(line, ' ' || chr(9)) = '' AS b,
              lag(trim(line, ' ' || chr(9)) = '') OVER (ORDER BY doc_id, line_no) AS pb FROM line_stream)
 WHERE pb IS NOT NULL AND NOT (b AND pb)"""
+
+# ---- readers and sinks: what a file holds after it has been written and read again ---
+
+from lexspark.functions.patterns import NA_TOKENS  # noqa: E402
+
+_NA = ", ".join("'" + x + "'" for x in NA_TOKENS)
+
+
+def _read(*cols):
+    return ", ".join(f"CASE WHEN {c} NOT IN ({_NA}) THEN {c} END AS {c}" for c in cols)
+
+
+_COMPLETE = "word IS NOT NULL AND lemma IS NOT NULL AND tag IS NOT NULL"
+_ROWS = f"CAST(row_number() OVER (PARTITION BY part, doc_id, sent_no ORDER BY word_no) - 1 AS INTEGER) AS word_no, {_read('word', 'lemma', 'tag')}"
+
+ORACLE["corpus_files"] = with_("clean") + f""", s AS (
+  SELECT part, doc_id, sent_no, CAST(row_number() OVER (PARTITION BY part ORDER BY doc_id, sent_no) - 1 AS INTEGER) AS sent
+  FROM (SELECT DISTINCT part, doc_id, sent_no FROM raw_tokens)),
+w AS (SELECT part, doc_id, sent_no, {_ROWS} FROM clean WHERE {_COMPLETE})
+SELECT part, sent AS sent_no, word_no, word, lemma, tag FROM w JOIN s USING (part, doc_id, sent_no)"""
+
+ORACLE["format_files"] = with_("clean") + f""", c AS (SELECT * FROM clean WHERE part <> 'training' AND {_COMPLETE}),
+w AS (SELECT doc_id, sent_no, CAST(row_number() OVER (ORDER BY doc_id, sent_no, word_no) - 1 AS INTEGER) AS row_no,
+  CAST(dense_rank() OVER (ORDER BY doc_id, sent_no) - 1 AS INTEGER) AS sent, {_ROWS} FROM c)
+SELECT format, CASE WHEN format = 'no_sentences' THEN 0 ELSE sent END AS sent_no,
+  CASE WHEN format = 'no_sentences' THEN row_no ELSE word_no END AS word_no, word, lemma, tag
+FROM w, (SELECT unnest(['numbered', 'conllu', 'no_sentences']) AS format)"""
+
+ORACLE["prediction_files"] = with_("preds") + f"""SELECT 'lines' AS source, model_id,
+  row_number() OVER (PARTITION BY model_id ORDER BY part, doc_id, sent_no, word_no) - 1 AS n, {_read('word', 'lemma', 'tag')} FROM preds
+UNION ALL SELECT 'export', model_id, count(*), word, lemma, tag FROM preds GROUP BY model_id, word, lemma, tag"""
+
+ORACLE["hypothesis_files"] = with_("hyps") + """SELECT model_id,
+  row_number() OVER (PARTITION BY model_id ORDER BY part, doc_id, sent_no) - 1 AS line_no, line FROM hyps"""
+
+ORACLE["pair_files"] = f"""SELECT row_number() OVER (ORDER BY part, doc_id, sent_no, word_no) - 1 AS line_no, source, target
+FROM {_pairs("part <> 'training'")}"""
+
+ORACLE["exported_tables"] = with_("match") + """, t AS (
+  SELECT 'match' AS "table", model_id, part FROM flags
+  UNION ALL SELECT 'tag_confusion', model_id, part FROM (SELECT DISTINCT model_id, part, tag_prediction, tag_truth FROM flags
+    WHERE NOT tag_match AND tag_prediction IS NOT NULL AND tag_truth IS NOT NULL)
+  UNION ALL SELECT 'lemma_confusion', model_id, part FROM (SELECT DISTINCT model_id, part, lemma_prediction, lemma_truth FROM flags
+    WHERE NOT lemma_match AND lemma_prediction IS NOT NULL AND lemma_truth IS NOT NULL))
+SELECT "table", model_id, part, count(*) AS n FROM t GROUP BY ALL"""
+
+ORACLE["length_report"] = f"""SELECT part, count(*) AS n_examples, count(*) FILTER (WHERE ns > 100) AS n_long_source,
+  count(*) FILTER (WHERE nt > 100) AS n_long_target, CAST(max(ns) AS INTEGER) AS longest_source, CAST(max(nt) AS INTEGER) AS longest_target
+FROM (SELECT part, len(string_split(source, ' ')) AS ns, len(string_split(target, ' ')) AS nt FROM ({word_context_sql(k=40)})) GROUP BY part"""

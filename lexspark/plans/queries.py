@@ -388,3 +388,10 @@ def q_word_context_bpe(spark, d):
     seg = bpe.segment_types(bpe.type_counts(ct, ("word",)), _codes(spark, d))
     ex = context.build_examples(ct, TransformConfig(context_unit="bpe"), bpe_units=seg, as_arrays=False)
     return context.as_text(ex).select("part", "doc_id", "sent_no", "word_no", "source", "target")
+
+
+# ---- readers and sinks ---------------------------------------------------------
+
+from lexspark.plans.files import FILES  # noqa: E402
+
+QUERIES.update(FILES)

@@ -125,25 +125,6 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_from_lines(lines_of(docs))
 
 
-def sentences_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence (line) including empty ones: (doc_id, part, sent_no, n_tokens)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    ln = lines_of(docs)
-    return ln.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), part_of(F.col("doc_id")).alias("part"),
-        F.col("sent_no").cast("int").alias("sent_no"),
-        F.size(F.regexp_extract_all("line", F.lit(TOKEN_PATTERN), 0)).cast("int").alias("n_tokens"),
-    )
-
-
-def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second corpus: conversations, conv_id as document, turn as sentence."""
-    conv = read_table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.lit("en").alias("lang"),
-        F.col("turn").cast("int").alias("sent_no"),
-        F.regexp_replace("text", "\n", " ").alias("line"),
-    )
-    return tokens_from_lines(conv)
 
 
 def clean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,12 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
             w = w.partitionBy(*partition_by)
         w.parquet(path)
     return spark.read.parquet(path)
+
+
+def written(spark: SparkSession, name: str, key: str, write: Callable[[str], None]) -> str:
+    """The path of files that ``write`` puts under the checkpoint folder once, in whatever format."""
+    path = table_path(spark, name, key)
+    if not exists(spark, path + "/_DONE"):
+        write(path)
+        spark.range(1).write.mode("overwrite").parquet(path + "/_DONE")
+    return path
