@@ -464,3 +464,12 @@ SELECT "table", model_id, part, count(*) AS n FROM t GROUP BY ALL"""
 ORACLE["length_report"] = f"""SELECT part, count(*) AS n_examples, count(*) FILTER (WHERE ns > 100) AS n_long_source,
   count(*) FILTER (WHERE nt > 100) AS n_long_target, CAST(max(ns) AS INTEGER) AS longest_source, CAST(max(nt) AS INTEGER) AS longest_target
 FROM (SELECT part, len(string_split(source, ' ')) AS ns, len(string_split(target, ' ')) AS nt FROM ({word_context_sql(k=40)})) GROUP BY part"""
+
+ORACLE["type_estimates"] = with_("clean") + """, l AS (
+  SELECT DISTINCT part, 'word' AS "column", word AS value FROM clean WHERE word IS NOT NULL
+  UNION ALL SELECT DISTINCT part, 'lemma', lemma FROM clean WHERE lemma IS NOT NULL
+  UNION ALL SELECT DISTINCT part, 'tag', tag FROM clean WHERE tag IS NOT NULL)
+SELECT part, "column", count(*) AS n_types, CASE WHEN part <> 'training' THEN count(*) FILTER (WHERE NOT EXISTS (
+    SELECT 1 FROM l t WHERE t.part = 'training' AND t."column" = l."column" AND t.value = l.value)) END AS n_unseen,
+  true AS types_near, CASE WHEN part <> 'training' THEN true END AS unseen_near
+FROM l GROUP BY part, "column\""""

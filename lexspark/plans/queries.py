@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexspark.operators import align, baseline, clean, linediff, profile, score, segment
+from lexspark.operators import align, baseline, clean, linediff, profile, score, segment, sketches
 from lexspark.plans import corpus
 from lexspark.sources import fixtures
 from lexspark.sources.store import materialized
@@ -92,6 +92,28 @@ def q_unseen_types(spark, d):
     return profile.unseen_types(corpus.all_tokens(spark, d))
 
 
+def _sketch_table(spark, d):
+    # the corpus in two deliveries: the second is merged into the stored sketches of the first
+    t = corpus.clean_tokens(spark, d)
+    old = materialized(spark, "type_sketches", d, lambda: sketches.type_sketches(t.where("doc_id % 2 = 0"), "lang"))
+    return sketches.merged(old, sketches.type_sketches(t.where("doc_id % 2 <> 0"), "lang"))
+
+
+@query("type_estimates")
+def q_type_estimates(spark, d):
+    # exact counts, and whether the sketches' estimates lie within five of their standard deviations
+    t = corpus.clean_tokens(spark, d)
+    long = t.select("part", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ("word", "lemma", "tag")])))
+    types = long.where("value IS NOT NULL").groupBy("part", "column").agg(F.count_distinct("value").alias("n_types"))
+    unseen = profile.unseen_type_table(t).where("value IS NOT NULL").groupBy("part", "column").agg(F.count("*").alias("n_unseen"))
+    e = sketches.estimates(_sketch_table(spark, d)).withColumnsRenamed({"n_types": "types_est", "n_unseen": "unseen_est"})
+    both = types.join(unseen, ["part", "column"], "left").join(e, ["part", "column"])
+    n_unseen = F.when(F.col("part") != "training", F.coalesce("n_unseen", F.lit(0)))
+    near = lambda exact, est, sd: F.abs(exact - est) <= 5 * sd + 1
+    return both.select("part", "column", "n_types", n_unseen.alias("n_unseen"), near(F.col("n_types"), F.col("types_est"), F.col("types_sd")).alias("types_near"),
+                       near(n_unseen, F.col("unseen_est"), F.col("unseen_sd")).alias("unseen_near"))
+
+
 @query("unseen_tokens")
 def q_unseen_tokens(spark, d):
     return profile.unseen_tokens(corpus.all_tokens(spark, d))
