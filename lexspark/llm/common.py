@@ -30,6 +30,38 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a table of ``saved`` that nothing reads any more: what was made from it has been written too."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/llm/" in path:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+SIEVE_BITS = 29  # at most 64 MB are sent to every task
+CELL = 32768  # bits of a row of the sieve: fixed by Spark's bitmap functions
+
+
+def sifted(rows: DataFrame, column: str, wanted: DataFrame, n: int, most: int = SIEVE_BITS) -> DataFrame:
+    """``rows`` with ``__maybe``: false only if the hash ``column`` is not among the ``n`` hashes of ``wanted``.
+
+    A bitmap with some eight bits a hash (one hash function, at most 2^most bits) is
+    built by a combinable aggregation and broadcast.  With more hashes it lets more
+    rows through, but never loses one.
+    """
+    bits = 1 << min(most, max(15, (8 * max(n, 1)).bit_length()))
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    cells = wanted.select(number(F.col(column)).alias("x")).groupBy(F.bitmap_bucket_number(F.col("x")).alias("__cell")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("x"))).alias("__bits"))
+    marked = rows.withColumn("__x", number(F.col(column)))
+    marked = marked.withColumn("__cell", F.bitmap_bucket_number("__x")).join(F.broadcast(cells), "__cell", "left")
+    place = F.bitmap_bit_position(F.col("__x"))
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    return marked.withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("__x", "__cell", "__bits")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

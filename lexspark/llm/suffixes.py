@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import binaries, same_key, saved
+from lexspark.llm.common import binaries, discarded, same_key, saved, sifted
 
 LENGTH = 200
 GRAM = 50
@@ -316,14 +316,15 @@ def counted_windows(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(doc, h, spans): stretches of each text (key, h, text) covered by repeated windows, unmerged."""
-    light = saved(anchors(rows), "anchors")
+    every = light = saved(anchors(rows), "anchors")
     shared = saved(light.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1"), "shared-grams")
     light = light.join(shared, "gram").groupBy("key", "h").agg(
         F.collect_set(F.when(F.col("places") <= HOT, F.struct("gram", "a", "lo", "hi"))).alias("at"),
         F.collect_set(F.when(F.col("places") > HOT, F.struct("gram", "a", "lo", "hi"))).alias("hot"))
     light = saved(light, "shared-anchors")
-    size = light.agg(F.sum(F.size("at")), F.sum(F.size("hot"))).first()
-    l, r = light.alias("l"), rows.alias("r")
+    discarded(every)
+    size = light.agg(F.sum(F.size("at")), F.sum(F.size("hot")), F.count("*")).first()
+    l, r = light.alias("l"), sifted(rows, "h", light, size[2]).where("__maybe").alias("r")  # texts without a shared anchor stay at home
     both = r.join(l, same_key(F.col("r.key"), F.col("l.key")) & (F.col("r.h") == F.col("l.h"))).select("r.key", "r.h", "text", "at", "hot")
     spans = runs(both.where(F.size("at") > 0), max(1, -(-(size[0] or 0) // PER_RANGE))).groupBy("range").applyInArrow(_range, SPANS)
     if size[1]:
@@ -335,8 +336,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """One row per row of ``docs``: ``key``, n_bytes, n_removed, n_spans, kept (the bytes left), kept_sha256."""
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("h"), body.alias("text"))
-    spans = repeated_spans(rows).withColumnRenamed("h", "h2")
-    both = rows.join(spans, same_key(F.col("key").cast("string"), F.col("doc")) & (F.col("h") == F.col("h2")), "left").select("key", "text", "spans")
+    spans = saved(repeated_spans(rows), "spans-of-texts")
+    sieved = sifted(rows, "h", spans, spans.count())
+    concerned = sieved.where("__maybe").drop("__maybe")
+    spans = spans.withColumnRenamed("h", "h2")
+    both = concerned.join(spans, same_key(F.col("key").cast("string"), F.col("doc")) & (F.col("h") == F.col("h2")), "left").select("key", "text", "spans")
+    both = both.unionByName(sieved.where("NOT __maybe").select("key", "text"), allowMissingColumns=True)
 
     def cut(batches):
         for batch in batches:
