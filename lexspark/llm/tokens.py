@@ -9,8 +9,8 @@ one hash, one pilot and one slot.  Shards are written by Spark's text writer,
 one value a file with the closing mark as line separator: the bytes pass
 unchanged, lost tasks are repeated, and any file system Spark reaches will do.
 
-Documents lie in ascending key order (null first; rows of one key by text, and
-the index names the first).  Null and empty texts have only the end id.
+Documents lie in ascending key order (null first; rows of one key by a hash of the text,
+so that a key with many rows spreads over tasks, and the index names the first of a shard).  Null and empty texts have only the end id.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ class Encoder:
         self.width = np.dtype(self.kind).itemsize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.other, self.kept = re.compile(r"[^\S \n]"), Kept(CACHE)
-        self.stop = re.compile(r"(?<=[^\W_])([.,])")
+        self.stop, self.mixed = re.compile(r"(?<=[^\W_])([.,])"), re.compile(r"[\W_][.,]")
         spec = json.loads(source)
         before = spec.get("pre_tokenizer") or {}
         self.line = self.library.encode("\n", add_special_tokens=False).ids
@@ -98,31 +98,39 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
         out: list = [b""] * len(texts)
-        whole, parts, missing = [], {}, []
-        young, lost = self.kept.young, set()
+        whole, ends, words = [], [], []
         for k, text in enumerate(texts):
             if not text:
                 continue
             if not self.by_word or self.edged(text) or any(s in text for s in self.special):
                 whole.append(k)
                 continue
-            words = self.stop.sub(r" \1", text).replace("\n", " \n").split(" ")
-            words[0] = "\n" + words[0]
-            ids = parts[k] = list(map(young.get, words))
-            for i in [i for i, x in enumerate(ids) if x is None]:
-                missing.append((ids, i, words[i]))
-                lost.add(words[i])
-        known = {w: x for w in lost if (x := self.kept.old.get(w)) is not None}
-        known |= self.fresh([w for w in lost if w not in known])
-        for ids, i, w in missing:
-            ids[i] = known[w]
-        for w, x in known.items():
-            if len(w) <= 64:
-                self.kept.put(w, x)
-        for k, ids in parts.items():
-            out[k] = b"".join(ids)[self.width:]  # without the line feed set before the first word
-        for k, ids in zip(whole, self.whole([texts[k] for k in whole])):
-            out[k] = ids
+            # mostly every stop follows a letter or digit, and a plain replacement does the same
+            text = self.stop.sub(r" \1", text) if text[0] in ".," or self.mixed.search(text) else text.replace(".", " .").replace(",", " ,")
+            own = text.replace("\n", " \n").split(" ")
+            own[0] = "\n" + own[0]
+            words += own
+            ends.append((k, len(words)))
+        kept, every = self.kept, set(words)
+        lost = every.difference(kept.young)
+        if len(kept.young) + len(lost) > kept.limit:  # a new generation; this batch's words are asked of the old one
+            kept.old, kept.young, lost = kept.young, {}, every
+        old = kept.old
+        known = {w: old[w] for w in lost if w in old}
+        new = self.fresh([w for w in lost if w not in known])
+        young = kept.young
+        young.update(known)
+        young.update(new)
+        ids = list(map(young.__getitem__, words))
+        for w in new:
+            if len(w) > 64:
+                del young[w]
+        at = 0
+        for k, end in ends:
+            out[k] = b"".join(ids[at:end])[self.width:]  # without the line feed set before the first word
+            at = end
+        for k, found in zip(whole, self.whole([texts[k] for k in whole])):
+            out[k] = found
         return out
 
 
@@ -142,8 +150,9 @@ def slot_of(place, pilot, slots: int):
 def build(place: np.ndarray) -> np.ndarray:
     """Pilots (signed) of a minimal perfect hash over distinct ``place`` values; buckets of about three keys.
 
-    Large buckets first try pilots until their keys fall on free, different slots; a bucket of one
-    key names its slot itself, as -1 - slot.
+    Large buckets first try pilots until their keys fall on free, different slots, all buckets of one
+    size at once: of several that claim a slot under one pilot the first takes it, the others
+    try the next pilot.  A bucket of one key names its slot itself, as -1 - slot.
     """
     n = len(place)
     buckets = max(1, -(-n // 3))
@@ -151,21 +160,27 @@ def build(place: np.ndarray) -> np.ndarray:
     bucket = (place >> np.uint64(33)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     names, starts, sizes = np.unique(bucket[order], return_index=True, return_counts=True)
-    singles = []
+    claimed = np.empty(n, np.int64)
     with np.errstate(over="ignore"):
-        for b in np.argsort(-sizes, kind="stable"):
-            members = place[order[starts[b]:starts[b] + sizes[b]]]
-            if len(members) == 1:
-                singles.append(int(names[b]))
-                continue
-            pilot = 0
-            while True:
+        for size in sorted(set(sizes.tolist()) - {1}, reverse=True):
+            own = np.flatnonzero(sizes == size)
+            members, pilot = place[order[starts[own][:, None] + np.arange(size)]], 0
+            while len(own):
                 pilot += 1
-                at = slot_of(members, np.uint64(pilot), n)
-                if free[at].all() and len(np.unique(at)) == len(at):
-                    break
-            free[at] = False
-            pilots[names[b]] = pilot
+                at = slot_of(members, np.uint64(pilot), n).astype(np.int64)
+                apart = np.sort(at, axis=1)
+                able = np.flatnonzero(free[at].all(1) & (apart[:, 1:] != apart[:, :-1]).all(1))
+                if not len(able):
+                    continue
+                number = np.repeat(np.arange(len(able)), size)
+                claimed[at[able].ravel()[::-1]] = number[::-1]  # the first claim is written last
+                taken = able[(claimed[at[able]] == np.arange(len(able))[:, None]).all(1)]
+                free[at[taken].ravel()] = False
+                pilots[names[own[taken]].astype(np.int64)] = pilot
+                left = np.ones(len(own), bool)
+                left[taken] = False
+                own, members = own[left], members[left]
+    singles = names[sizes == 1].astype(np.int64)
     pilots[singles] = -1 - np.flatnonzero(free)[:len(singles)]
     return pilots
 
@@ -238,7 +253,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
     with open(vocabulary, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary: a fixed size
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text").select(F.col("key").cast("string"), "text")
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text")
+    rows = rows.select(F.col("key").cast("string"), "text")
 
     def run(batches):
         encoder = worker_state("ids_" + hashlib.sha1(source.value.encode()).hexdigest(), lambda: Encoder(source.value))
