@@ -330,15 +330,21 @@ from lexspark.operators import report, vocab  # noqa: E402
 from lexspark.plans import flows  # noqa: E402
 
 
+def _vocabulary(spark, d):
+    # written once per input and session: the encoder reads it
+    train = corpus.clean_tokens(spark, d).where(F.col("part") == "training")
+    return materialized(spark, "vocabulary", d, lambda: vocab.vocabulary(context.build_examples(train, TransformConfig(), as_arrays=False)))
+
+
 @query("vocabulary")
 def q_vocabulary(spark, d):
-    return vocab.vocabulary(corpus.training_pairs(spark, d))
+    return _vocabulary(spark, d)
 
 
 @query("encode_lines")
 def q_encode_lines(spark, d):
-    v = vocab.vocabulary(corpus.training_pairs(spark, d))
-    pairs = context.build_examples(corpus.clean_tokens(spark, d), TransformConfig())
+    v = _vocabulary(spark, d)
+    pairs = context.build_examples(corpus.clean_tokens(spark, d), TransformConfig(), as_arrays=False)
     keys = ["part", "doc_id", "sent_no", "word_no"]
     enc = vocab.encode(pairs, v, keys)
     return enc.select(*keys, F.array_join(F.col("source_ids").cast("array<string>"), " ").alias("source_ids"),

@@ -35,6 +35,11 @@ def test_encoding_by_batch_and_by_join(spark, sf_dir, unit):
     want = sorted((*[r[k] for k in KEYS], *[None if r[s] is None else [ids.get((s, x), vocab.UNK_ID) for x in r[s]] for s in ("source", "target")]) for r in rows.collect())
     for most in (10 ** 6, 0):
         assert sorted(map(tuple, vocab.encode(rows, v, KEYS, most=most).collect())) == want
+    text = context.as_text(pairs)
+    assert sorted(vocab.vocabulary(text.where("part = 'training'")).collect()) == sorted(v.collect())
+    some = {tuple(w[:4]): w for w in want}
+    for most in (10 ** 6, 0):
+        assert all(some[tuple(r[:4])] == tuple(r) for r in vocab.encode(text, v, KEYS, most=most).collect())
 
 
 def test_flags_do_not_depend_on_the_dictionarys_size(spark, sf_dir, monkeypatch):
