@@ -83,3 +83,45 @@ def test_a_long_sentence_spreads_over_rows(spark):
     got = build_examples(long, cfg, as_arrays=False)
     assert got.count() == 120_000
     assert got.where("word_no = 4096").first().source == "<w> w19 <s> w20 <s> w21 <lc> w 2 2 <rc> w23 <s> w24 <s> w25 </w>"
+
+
+@pytest.mark.parametrize("unit,n", [("char", 1), ("char", 3), ("word", 1)])
+def test_words_travel_without_their_units(golden, unit, n):
+    """Units are cut behind the shuffle, so rows hold words and the plan has no expression that cuts them."""
+    cfg = TransformConfig(context_unit=unit, n=n, context_size=3, context_tags="left", context_span=1)
+    plan = build_examples(golden, cfg, as_arrays=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+@pytest.mark.parametrize("n,k,N,tags", [(1, 4, None, False), (2, 3, None, True), (3, 0, None, True), (2, None, 5, False), (3, None, 7, True), (1, None, None, False)])
+def test_contexts_against_plain_statement(spark, monkeypatch, n, k, N, tags):
+    """Every context spelled out unit by unit, with small batches of rendered words and of text."""
+    from lexspark.operators import context
+    monkeypatch.setattr(context, "CHUNK", 16)
+    monkeypatch.setattr(context, "TEXT", 200)
+    tokens = _sentences(spark, [1, 7, 0, 12, 30])
+    cfg = TransformConfig(n=n, context_size=k, context_char_size=N, context_tags="left" if tags else "none")
+    expected = {}
+    rows = sorted(tokens.collect(), key=lambda r: (r.sent_no, r.word_no))
+    for sent in {r.sent_no for r in rows}:
+        words = [r for r in rows if r.sent_no == sent]
+        units = [(i, w.word[x:x + n], x == 0, x + n >= len(w.word)) for i, w in enumerate(words) for x in range(0, len(w.word), n)]
+        for i, w in enumerate(words):
+            def walk(side):
+                taken, length = [], 0
+                for u in side:
+                    length += len(u[1])
+                    if (length > N) if N is not None else (k is not None and len(taken) >= k):
+                        break
+                    taken.append(u)
+                return taken
+            left, right = walk([u for u in units if u[0] < i][::-1])[::-1], walk([u for u in units if u[0] > i])
+
+            def text(taken, tagged):
+                out = []
+                for at, u in enumerate(taken):
+                    out += (["<s>"] if u[2] and at else []) + [u[1]] + (["+", *words[u[0]].tag] if tagged and u[3] else [])
+                return out
+            expected[sent, w.word_no] = " ".join(["<w>", *text(left, tags), "<lc>", *w.word, "<rc>", *text(right, False), "</w>"])
+    got = {(r.sent_no, r.word_no): r.source for r in build_examples(tokens, cfg, as_arrays=False).collect()}
+    assert got == expected
