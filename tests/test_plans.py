@@ -72,3 +72,19 @@ def test_lost_hypotheses_keep_their_truth(spark):
     assert {(r.model_id, r.doc_id, r.reason, r.n) for r in align.surplus_sentences(truth, lines).collect()} == {(1, 1, "beyond the sentence", 1), (1, 5, "no truth", 1)}
     m = align.match_table(align.align_words(truth, hyps).where("lemma IS NOT NULL"), truth.withColumn("lemma", F.lit("l")).withColumn("tag", F.lit("t")))
     assert m.count() == 12 and m.where("lemma_prediction IS NULL").count() == 10
+
+
+def test_predictions_read_what_was_predicted_once(spark, sf_dir):
+    from lexspark.sources import fixtures
+    plan = fixtures.predictions(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_equal_words_are_looked_up_once(spark, monkeypatch):
+    from lexspark.operators import typetable
+    rows = spark.createDataFrame([(1, "a", "a"), (2, "a", "b"), (3, None, None), (4, "c", None), (5, "z", "z")], "id int, t string, p string")
+    table = spark.createDataFrame([(w, w == "a", [], []) for w in ("a", "b", "c")], "type string, seen boolean, parts array<string>, ambiguous array<string>")
+    get = lambda: sorted(typetable.looked_up_both(rows, ("t", "p"), table, ("x", "y")).selectExpr("id", "t", "p", "x.seen", "y.seen").collect(), key=lambda r: r[0])
+    small = get()
+    monkeypatch.setattr(typetable, "SMALL", 0)
+    assert get() == small == [(1, "a", "a", True, True), (2, "a", "b", True, False), (3, None, None, None, None), (4, "c", None, False, None), (5, "z", "z", None, None)]
