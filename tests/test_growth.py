@@ -60,3 +60,19 @@ def test_scores_look_up_tokens_alike_once(spark, monkeypatch):
             n, l, t, j = want.get((part, s), (0, 0, 0, 0))
             want[part, s] = (n + 1, l + ok_l, t + ok_t, j + (ok_l and ok_t))
     assert got == {k: (n, l / n, t / n, j / n) for k, (n, l, t, j) in want.items()}
+
+
+def test_rejects_take_the_corpus_unwritten(spark, tmp_path):
+    from lexspark.plans import corpus, queries
+    from lexspark.sources import store
+    rows = [(i, "en", "some words of Text\n\nthe second, line of it again and again") for i in range(60)] + [(60, None, None), (None, "en", "no id"), (7, "en", "twice the id here")]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d, at = str(tmp_path), lambda: store.exists(spark, store.table_path(spark, "clean_tokens", str(tmp_path)))
+    first = sorted(map(tuple, queries.QUERIES["pairs_rejects"](spark, d).collect()), key=repr)
+    assert first and not at()
+    stored = corpus.clean_tokens(spark, d)
+    assert at()
+    again = queries.QUERIES["pairs_rejects"](spark, d)
+    assert any("clean_tokens" in f for f in again.inputFiles())  # a corpus at hand is read
+    assert sorted(map(tuple, again.collect()), key=repr) == first
+    assert first == sorted((tuple(r) for r in stored.select(*queries.TOK).collect() if r["word"] is not None and None in (r["lemma"], r["tag"])), key=repr)
