@@ -12,9 +12,10 @@ long text counts; a logistic curve fitted on a fold of its own maps it to 0..1.
 All labelled rows outside the held-out fold are counted, in Spark: the fold 4
 serves the curve, the folds 1 to 3 the counts.  Counts are keyed by the 64-bit
 hash of the word and lie in a table that grows with the input.  The ``HEAD``
-words with most contexts travel to the tasks; runs of words that are all among
-them are scored at once, and the other runs after a join of each text's other
-words with the table.  Null and empty texts score as texts without evidence;
+words with most contexts travel to the tasks, with a bitmap of the table's words
+that is of bounded size; runs of words that are among them, or surely not in the
+table, are scored at once, and the other runs after a join of each text's other
+words with the table.  Only texts whose ids may be labelled are sent to their labels.  Null and empty texts score as texts without evidence;
 rows with null labels or ids teach nothing; repeated label rows of an id count
 once (toxic if any says so); without labels of both classes the score is the
 smoothed share of toxic labels.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import binaries, saved, text_digest, word_bytes, worker_state
+from lexspark.llm.common import CELL, SIEVE_BITS, binaries, saved, sifted, text_digest, word_bytes, worker_state
 
 HEAD = 1 << 18  # words whose weights every task holds; all others are joined
 DISCOUNT = 2.0  # contexts; what a class has seen in fewer is left to the backoff
@@ -62,6 +63,8 @@ def contexts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     taught = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taught = taught.where(fold(F.col("doc_id")).isin(1, 2, 3))
     texts = docs.where(fold(F.col("doc_id")).isin(1, 2, 3) & F.col("text").isNotNull()).select("doc_id", "text")
+    if docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType:  # equal ids have equal hashes
+        texts = sifted(texts, "doc_id", taught, labels.count()).where("__maybe").drop("__maybe")
 
     def run(batches):
         hashes = _Hashes()
@@ -80,7 +83,8 @@ def contexts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 new[1:] = (left[1:] != left[:-1]) | (word[1:] != word[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(new.sum(), toxic, np.int32)), pa.array(left[new]), pa.array(word[new])], ["toxic", "left", "word"])
 
-    pairs = texts.join(taught, "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), F.col("text").cast("string")) \
+    pairs = texts.join(taught.hint("shuffle_hash"), "doc_id").select(  # few labels or many: the same plan, texts are not sorted
+(F.col("toxic") > 0).cast("int").alias("toxic"), F.col("text").cast("string")) \
         .mapInArrow(run, "toxic int, left bigint, word bigint").distinct()
     return pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary"))
 
@@ -110,20 +114,38 @@ def runs(x: np.ndarray, span: int) -> np.ndarray:
     return sums
 
 
+def word_bits(table: DataFrame) -> np.ndarray:
+    """A bitmap over the low bits of word hashes, with some sixteen bits a word of ``table`` up to 64 MB: a clear bit means no such word."""
+    bits = 1 << min(SIEVE_BITS, max(15, (16 * table.count()).bit_length()))
+    x = F.pmod(F.col("word"), F.lit(bits)) + 1  # Spark's bitmaps count from 1
+    cells = table.groupBy(F.bitmap_bucket_number(x).alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in cells:  # at most 16,384 of 4 KB
+        at = (r["cell"] - 1) * CELL // 8
+        out[at:at + CELL // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def evidence(docs: DataFrame, model: tuple[DataFrame, float], span: int = SPAN, head: int = HEAD) -> DataFrame:
     """(doc_id, raw): the largest mean difference over ``span`` words (short texts are filled with zeros)."""
     table, other = model
     best = table.orderBy(F.desc("n"), "word").limit(head).select("word", "weight").toPandas().sort_values("word")  # at most ``head`` rows
-    shared, name = docs.sparkSession.sparkContext.broadcast((best["word"].to_numpy(np.int64), best["weight"].to_numpy(np.float32))), "toxicity_" + uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast((best["word"].to_numpy(np.int64), best["weight"].to_numpy(np.float32), word_bits(table)))
+    name = "toxicity_" + uuid.uuid4().hex
 
     class Weights(dict):
-        """Weight by word; nan: not among the head."""
+        """Weight by word; nan: not among the head, but perhaps in the table."""
 
         def __missing__(self, word: bytes) -> float:
             if len(self) > 300_000:
                 self.clear()
-            words, weights = shared.value
-            h = np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64)
+            words, weights, bits = shared.value
+            digest = xxhash.xxh3_64_intdigest(word)
+            place = digest & (8 * len(bits) - 1)
+            if not bits[place >> 3] >> (place & 7) & 1:
+                x = self[word] = other
+                return x
+            h = np.uint64(digest).astype(np.int64)
             at = int(words.searchsorted(h))
             x = self[word] = float(weights[at]) if at < len(words) and words[at] == h else float("nan")
             return x
@@ -167,8 +189,8 @@ def evidence(docs: DataFrame, model: tuple[DataFrame, float], span: int = SPAN,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], ["doc_id", "raw"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = saved(docs.select("doc_id", F.col("text").cast("string"), text_digest("text").alias("digest")).mapInArrow(
-        first, f"doc_id {kind}, raw double, digest string, tail array<bigint>, refs binary, near binary, starts binary"), "runs")
+    rows = saved(docs.select("doc_id", F.col("text").cast("string"), F.unhex(text_digest("text")).alias("digest")).mapInArrow(
+        first, f"doc_id {kind}, raw double, digest binary, tail array<bigint>, refs binary, near binary, starts binary"), "runs")
     asked = rows.where("tail IS NOT NULL").select("digest", F.explode("tail").alias("word")).distinct()
     known = asked.join(table.select("word", "weight"), "word").groupBy("digest").agg(F.collect_list(F.struct("word", "weight")).alias("known"))
     known = saved(known, "rare-words")  # two plain shuffles meet below: a frequent text splits

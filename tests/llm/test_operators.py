@@ -322,6 +322,25 @@ def test_toxicity_counts_by_word(spark):
         assert raw.keys() == expected.keys() and all(abs(raw[i] - expected[i]) < 1e-5 for i in raw)
 
 
+def test_toxicity_moves_only_what_it_needs(spark, monkeypatch):
+    """Texts without a label stay where they are, whatever the number of labels; of rare words only those are asked for that the table may hold."""
+    from lexspark.llm import toxicity
+    docs = spark.createDataFrame([(i, f"a b c d own{i} x{i} y{i}") for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 4)] + [(4, 1), (None, 1), (8, None)], "doc_id bigint, toxic int")
+    plan = toxicity.contexts(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "shuffle_hash" in plan
+    words = np.array([toxicity._Hashes()[w.encode()] for w in "abcd"], np.uint64).view(np.int64).tolist()
+    table = spark.createDataFrame([(w, n, 0.5) for n, w in enumerate(words)], "word bigint, n bigint, weight float")
+    bits = np.unpackbits(toxicity.word_bits(table), bitorder="little")
+    assert set(np.flatnonzero(bits).tolist()) == {w % len(bits) for w in words}
+    written, keep = {}, toxicity.saved
+    monkeypatch.setattr(toxicity, "saved", lambda df, name: written.setdefault(name, keep(df, name)))
+    raw = {r["doc_id"]: r["raw"] for r in toxicity.evidence(docs, (table, -1.0), head=0).collect()}
+    assert set(raw.values()) == {0.5}
+    tails = [w for r in written["runs"].where("tail IS NOT NULL").collect() for w in r["tail"]]
+    assert set(words) <= set(tails) and len(set(tails)) <= 40  # 1,204 words without the bitmap
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from lexspark.llm.common import table
