@@ -25,19 +25,27 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import Kept, saved, shared_path, worker_state
+from lexspark.llm.common import saved, shared_path, worker_state
 
 SHARD_IDS = 4_000_000  # a shard closes with the document that reaches it
 MAX_SHARDS = 1_000_000  # of a store that keyed access serves: the manifest's bound
 MARK = "TOKSHARD"
 FOOTER = "<QIIIIQ"  # ids, bytes an id, documents, slots, buckets, shard number
-BATCH = 500
-CACHE = 250_000
+BATCH, BATCH_BYTES = 2_000, 4_000_000  # rows that are encoded at once, and bytes of text with which a batch closes
+CACHE = 1_000_000  # words of a worker's table: some 40 MB
+
+
+def spans_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of ``data`` that ``which`` names, one after the other: where each begins (and the last ends), and the items."""
+    count = sizes[which]
+    ends = np.concatenate([[0], np.cumsum(count)])
+    return ends, data[np.repeat(starts[which] - ends[:-1], count) + np.arange(ends[-1])]
 
 
 class Encoder:
@@ -46,7 +54,9 @@ class Encoder:
     The byte-level splitter always starts a piece at a blank, and puts one before and after a line
     feed, that stands between two characters that are not white space: the ids of such a text are
     those of its words, each with the blank or line feed before it.  A full stop or comma after a
-    letter or digit starts a piece as well, and is held as a word of its own.  Missing words are encoded in
+    letter or digit starts a piece as well, and is held as a word of its own.  A batch is split and its words
+    alike are numbered as an Arrow column, so that only different words become Python strings, and ids
+    are gathered as arrays.  Missing words are encoded in
     one call, a line each, and told apart by the id of the line feed.  Texts with other white space
     next to each other, or with special tokens, go to the library whole.
     """
@@ -60,8 +70,11 @@ class Encoder:
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.other, self.kept = re.compile(r"[^\S \n]"), Kept(CACHE)
-        self.stop, self.mixed = re.compile(r"(?<=[^\W_])([.,])"), re.compile(r"[\W_][.,]")
+        spaces = "".join(map(re.escape, (c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")))
+        self.other = re.compile(f"[{spaces}]")  # listed: searched faster than a class
+        # known words, their ids one after the other, where each begins, the batch that last asked for it
+        self.words, self.data, self.starts, self.used, self.batches = pa.array([], pa.large_string()), np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
+        self.stop, self.mixed = re.compile(r"(?<=[^\W_])([.,])"), re.compile(r"[.,](?<=[\W_][.,])")
         spec = json.loads(source)
         before = spec.get("pre_tokenizer") or {}
         self.line = self.library.encode("\n", add_special_tokens=False).ids
@@ -98,7 +111,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
         out: list = [b""] * len(texts)
-        whole, ends, words = [], [], []
+        whole, plain, lines = [], [], []
         for k, text in enumerate(texts):
             if not text:
                 continue
@@ -107,32 +120,62 @@ class Encoder:
                 continue
             # mostly every stop follows a letter or digit, and a plain replacement does the same
             text = self.stop.sub(r" \1", text) if text[0] in ".," or self.mixed.search(text) else text.replace(".", " .").replace(",", " ,")
-            own = text.replace("\n", " \n").split(" ")
-            own[0] = "\n" + own[0]
-            words += own
-            ends.append((k, len(words)))
-        kept, every = self.kept, set(words)
-        lost = every.difference(kept.young)
-        if len(kept.young) + len(lost) > kept.limit:  # a new generation; this batch's words are asked of the old one
-            kept.old, kept.young, lost = kept.young, {}, every
-        old = kept.old
-        known = {w: old[w] for w in lost if w in old}
-        new = self.fresh([w for w in lost if w not in known])
-        young = kept.young
-        young.update(known)
-        young.update(new)
-        ids = list(map(young.__getitem__, words))
-        for w in new:
-            if len(w) > 64:
-                del young[w]
-        at = 0
-        for k, end in ends:
-            out[k] = b"".join(ids[at:end])[self.width:]  # without the line feed set before the first word
-            at = end
+            lines.append("\n" + text.replace("\n", " \n"))
+            plain.append(k)
+        for k, found in zip(plain, self.joined(lines)):
+            out[k] = found
         for k, found in zip(whole, self.whole([texts[k] for k in whole])):
             out[k] = found
         return out
 
+    def joined(self, lines: list[str]) -> list[bytes]:
+        """Ids of words that blanks part, text by text, without the line feed set before the first word."""
+        if not lines:
+            return []
+        words = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        alike = words.flatten().dictionary_encode()
+        at = pc.fill_null(pc.index_in(alike.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
+        lost = np.flatnonzero(at < 0)
+        at[lost] = len(self.words) + np.arange(len(lost))
+        names = alike.dictionary.take(pa.array(lost))
+        listed = names.to_pylist()
+        new = self.fresh(listed)
+        ids = [new[w] for w in listed]
+        known = pa.concat_arrays([self.words, names])
+        data = np.concatenate([self.data, np.frombuffer(b"".join(ids), self.kind)])
+        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // self.width)])
+        used = np.concatenate([self.used, np.zeros(len(ids), np.int64)])
+        self.batches += 1
+        used[at] = self.batches
+
+        word = alike.indices.to_numpy()
+        ends, found = spans_of(data, starts[at], starts[at + 1] - starts[at], word)
+        bounds = ends[words.offsets.to_numpy()].tolist()
+        self.keep(known, data, starts, used)
+        return [found[b + 1:e].tobytes() for b, e in zip(bounds, bounds[1:])]
+
+    def keep(self, words: pa.Array, data: np.ndarray, starts: np.ndarray, used: np.ndarray) -> None:
+        """Holds words and ids for later batches: no long words, and beyond ``CACHE`` words the half asked for last."""
+        short = pc.binary_length(words).to_numpy() <= 256
+        if not short.all() or len(words) > CACHE:
+            stay = np.flatnonzero(short)
+            if len(stay) > CACHE:
+                stay = np.sort(stay[np.argsort(-used[stay], kind="stable")[:CACHE // 2]])
+            starts, data = spans_of(data, starts[:-1], np.diff(starts), stay)
+            words, used = words.take(pa.array(stay)), used[stay]
+        self.words, self.data, self.starts, self.used = words, data, starts, used
+
+
+def batches_of(batch: pa.RecordBatch):
+    """``batch`` in slices of bounded size; the texts are its second column."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        full = int(sizes.searchsorted((sizes[at - 1] if at else 0) + BATCH_BYTES)) + 1
+        end = min(at + BATCH, max(full, at + 1), len(batch))
+        yield batch.slice(at, end - at)
+        at = end
+
 
 def hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Placement hashes and 32-bit fingerprints of keys."""
@@ -261,8 +304,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
         part, k, keys, payloads, size = TaskContext.get().partitionId(), 0, [], [], 0
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                names, texts = (c.to_pylist() for c in batch.slice(at, BATCH).columns)
+            for some in batches_of(batch):
+                names, texts = (c.to_pylist() for c in some.columns)
                 for name, ids in zip(names, encoder.encode([t or "" for t in texts])):
                     keys.append(name)
                     payloads.append(ids + end)

@@ -195,6 +195,36 @@ def test_bpe_and_token_ids(spark, docs, none, texts):
     assert bpe.round_trip(none, word).count() == 0 and tokens.round_trip(none, byte).count() == 0
 
 
+def test_words_are_encoded_once(texts, monkeypatch):
+    """Half a million words stay known to a worker; a smaller table forgets the oldest ones, and ids are the library's with either."""
+    import pyarrow as pa
+    from lexspark.llm import tokens
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        source = f.read()
+    many, asked = tokens.Encoder(source), []
+    many.fresh = lambda words: asked.append(len(words)) or {w: b"ab" for w in words}
+    lines = [" ".join(f"w{k}" for k in range(at, at + 1_000)) for at in range(0, 600_000, 1_000)]
+    for _ in range(2):
+        for at in range(0, len(lines), 100):
+            assert set(map(len, many.encode(lines[at:at + 100]))) == {2 * 999}
+    assert 600_000 <= sum(asked) <= 600_600  # the first word of a text has a line feed before it
+
+    odd = [t or "" for t in texts] + [".starts here", "no. no,no ,no", "a.b,c_.d!.e", "l\nm\n", "\u2028x", "x\xa0y", "é.ß,漢.字", "w" * 300 + " and", "", prose(6, 300)]
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in odd]
+    monkeypatch.setattr(tokens, "CACHE", 60)
+    few = tokens.Encoder(source)
+    for at in (0, 5, 11, 20, 3):
+        assert few.encode(odd[at:] + odd[:at]) == expected[at:] + expected[:at]
+        assert len(few.words) == len(few.used) == len(few.starts) - 1 <= 60 and few.starts[-1] == len(few.data)
+    assert few.encode([]) == [] and few.encode(["", ""]) == [b"", b""]
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_003)), pa.array(["x" * 1_500_000] * 4 + [None, ""] + ["y"] * 4_997)], ["key", "text"])
+    parts = list(tokens.batches_of(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and [len(p) for p in parts] == [3, 2_000, 2_000, 1_000]
+
+
 def test_perfect_hash():
     from lexspark.llm.tokens import build, find, hashes
     for n in (1, 2, 3, 50, 3_000):
