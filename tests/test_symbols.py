@@ -27,8 +27,8 @@ def test_spelling_and_symbols_of_slices():
         cut = [None if x is None else x.split(" ") for x in rows]
         for c in (column, pa.array([["q"], *cut], pa.list_(pa.string())).slice(1)):
             found = vocab.Symbols(c)
-            longer, single = iter(found.longer.to_pylist()), iter(found.byte.tolist())
-            assert [chr(next(single)) if x else next(longer) for x in found.single] == [y for x in cut if x is not None for y in x]
+            longer = dict(zip(found.other.tolist(), found.longer.to_pylist()))
+            assert [longer.get(i, chr(x)) for i, x in enumerate(found.byte.tolist())] == [y for x in cut if x is not None for y in x]
             assert found.count.tolist() == [len(x or []) for x in cut]
 
 
@@ -47,3 +47,22 @@ def test_ids_as_text_are_the_ids_as_arrays(spark, most):
     counted = {(r.side, r.symbol): r.freq for r in v.collect()}
     assert counted["source", "a"] == 2 and counted["source", ""] == 2 and counted["target", "x"] == 2
     assert v.where(F.col("symbol").isNull()).isEmpty()
+
+
+def test_ids_of_more_digits_than_a_cell(spark):
+    """Ids of one to five digits, in cells of four and of eight bytes."""
+    pairs = spark.createDataFrame([(0, "a b é a", "b"), (1, "", "zz a")], "k int, source string, target string")
+    for big in (99, 31_234):
+        v = spark.createDataFrame([("source", "a", 2), ("source", "b", big), ("source", "é", 3), ("target", "b", big), ("target", "a", 12)], "side string, symbol string, id bigint")
+        got = {r.k: (r.source_ids, r.target_ids) for r in vocab.encode(pairs, v, ["k"], as_arrays=False).collect()}
+        assert got == {0: (f"2 {big} 3 2", f"{big}"), 1: ("1", "1 12")}
+
+
+def test_symbols_of_texts_are_counted_without_cutting_them(spark):
+    """C10 and C11 on text and on arrays alike."""
+    from lexspark.operators import clean
+    text = spark.createDataFrame([("dev", "a b c", "é"), ("dev", "", "a b"), ("test", " a", "x y z w")], "part string, source string, target string")
+    arrays = text.withColumns({c: F.split(c, " ") for c in ("source", "target")})
+    assert sorted(clean.long_examples(text, 2).collect()) == sorted(clean.long_examples(arrays, 2).collect()) == [("dev", 2, 1, 0, 3, 2), ("test", 1, 0, 1, 2, 4)]
+    assert clean.length_filter(text, 2).count() == clean.length_filter(arrays, 2).count() == 1
+    assert "split(" not in clean.length_filter(text, 2)._jdf.queryExecution().optimizedPlan().toString()
